@@ -7,6 +7,7 @@ from importlib import import_module
 
 #: query name -> module of this package that holds query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL
 MODULES = {
+    "op3_kneser_ney_quality": "quality",
     "op4_token_counts": "token_counts",
     "op6_suffix_array_dedup": "suffix_dedup",
     "op9_simhash_near_dedup": "simhash",
