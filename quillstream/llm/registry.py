@@ -9,8 +9,10 @@ from importlib import import_module
 MODULES = {
     "op3_kneser_ney_quality": "quality",
     "op4_token_counts": "token_counts",
+    "op5_sentencepiece_nbest": "pieces",
     "op6_suffix_array_dedup": "suffix_dedup",
     "op9_simhash_near_dedup": "simhash",
+    "op10_benchmark_decontamination": "decontaminate",
 }
 
 
