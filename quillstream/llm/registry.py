@@ -11,6 +11,7 @@ MODULES = {
     "op4_token_counts": "token_counts",
     "op5_sentencepiece_nbest": "pieces",
     "op6_suffix_array_dedup": "suffix_dedup",
+    "op7_maxent_scores": "language_model",
     "op8_site_style_tree": "main_text",
     "op9_simhash_near_dedup": "simhash",
     "op10_benchmark_decontamination": "decontaminate",
