@@ -7,6 +7,8 @@ from importlib import import_module
 
 #: query name -> module of this package that holds query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL
 MODULES = {
+    "op1_collinear_chaining": "chaining",
+    "op2_license_scan": "licenses",
     "op3_kneser_ney_quality": "quality",
     "op4_token_counts": "token_counts",
     "op5_sentencepiece_nbest": "pieces",

@@ -57,3 +57,12 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
+
+
+def with_row(docs: DataFrame, id_col: str = "doc_id", name: str = "__row") -> DataFrame:
+    """docs with a long column that is different in every row and the same whenever the plan is run again:
+    the id where it is unique and never null, else a number from a table written once."""
+    twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
+    if twice.isEmpty():
+        return docs.withColumn(name, F.col(id_col).cast("long"))
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
