@@ -127,10 +127,10 @@ def _values() -> str:
 
 ORACLE_SQL = f"""
 WITH templates(license, body) AS (VALUES {_values()}),
-tw AS (SELECT license, list_filter(string_split_regex(lower(body), '{SPLIT}'), x -> x <> '') AS w FROM templates),
+tw AS (SELECT license, string_split(trim(regexp_replace(lower(body), '{SPLIT}', ' ', 'g')), ' ') AS w FROM templates),
 ts AS (SELECT DISTINCT license, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s FROM (SELECT license, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM tw)),
 size AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
-dw AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '{SPLIT}'), x -> x <> '') AS w FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '{SPLIT}', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
 ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM dw)),
 hit AS (SELECT doc_id, license, count(*) AS k FROM ds JOIN ts USING (s) GROUP BY doc_id, license)
 SELECT doc_id, license, CAST(k AS BIGINT) AS n_shared, CAST(n AS BIGINT) AS n_shingles, round(k / n, 6) AS containment
