@@ -15,8 +15,8 @@ made so without losing a repeat:
    A slice is: left flank, core (ONE symbol of the collection, named by a 128-bit hash), right flank;
    at most 2*BLOCK-1 symbols. A window is exactly BLOCK symbols of a slice that contain
    the core, and equal windows lie in slices of the same core at the same offset.
-3. Collections. Slices meet by core in a shuffle. Equal slices are one string with a multiplicity
-   (aggregated before the shuffle, so copies cost nothing). The column-wise construction over each bucket gives the
+3. Collections. Anchors whose windows hold the same text, and then equal slices, are one string with a multiplicity
+   (aggregated before the shuffle, so copies cost nothing). Slices meet by core. The column-wise construction over each bucket gives the
    LCP of neighbouring suffixes; a window start whose suffix shares BLOCK symbols with a
    neighbour, or whose slice has a multiplicity over one, is a repeat.
 4. Cores that have very many different slices (HOT) are cut again into blocks of FINE starts, whose
@@ -89,61 +89,69 @@ def anchors(data: np.ndarray, limits: np.ndarray, hasher: Hasher, length: int =
 
 
 def _anchor_rows(length: int):
+    """(row, at, before, after, h, c): the anchor at byte `at` was picked by the windows that start before..after bytes
+    ahead of it; h is its gram, c the text of all these windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("row")
             for rows, data, limits in chunks(batch):
-                at, hashes, _, _, row = anchors(data, limits, Hasher(data), length)
+                hasher = Hasher(data)
+                at, hashes, lo, hi, row = anchors(data, limits, hasher, length)
+                context = mix(hasher.of(lo, hi + length) + (at - lo).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(rows.start).take(pa.array(row)), pa.array((at - limits[row]).astype(np.int32)), pa.array(signed(hashes))], names=["row", "at", "h"]
-                )
+                    [
+                        ids.slice(rows.start).take(pa.array(row)), pa.array((at - limits[row]).astype(np.int32)), pa.array((at - lo).astype(np.int16)),
+                        pa.array((at - hi).astype(np.int16)), pa.array(signed(hashes)), pa.array(signed(context)),
+                    ],
+                    names=["row", "at", "before", "after", "h", "c"],
+                )
 
     return run
 
 
 def _slice_rows(length: int, block: int):
-    """Slices of the blocks of wanted anchors: (row, start, n, k1, k2, flanks, left)."""
+    """Slices of the blocks of the wanted anchors of each text; start is relative to the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("row")
-            wanted_data, wanted_at = batch.column("wanted").values, batch.column("wanted").offsets.to_numpy()
+            lists = batch.column("wanted")
+            wanted, wanted_at = lists.values, lists.offsets.to_numpy()
             for rows, data, limits in chunks(batch):
                 hasher = Hasher(data)
-                at, _, lo, hi, row = anchors(data, limits, hasher, length)
                 a, b = wanted_at[rows.start], wanted_at[rows.stop]
-                wanted = wanted_data.slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)
+                mine = wanted.slice(a, b - a)
                 owner = np.repeat(np.arange(rows.stop - rows.start), np.diff(wanted_at[rows.start : rows.stop + 1]))
-                keep = np.isin(at, wanted + limits[owner])
-                at, lo, hi, row = at[keep], lo[keep], hi[keep], row[keep]
+                at = mine.field("at").to_numpy().astype(np.int64) + limits[owner]
+                lo, hi = at - mine.field("before").to_numpy(), at - mine.field("after").to_numpy()
                 # block j of an anchor: windows whose offset from it is in [j*block, (j+1)*block)
                 j0, j1 = (at - hi) // block, (at - lo) // block
                 times = j1 - j0 + 1
                 which = np.repeat(np.arange(len(at)), times)
                 j = j0[which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-                at, row = at[which], row[which]
+                at = at[which]
                 s0 = np.maximum(lo[which], at - j * block - block + 1)
                 s1 = np.minimum(hi[which], at - j * block)
                 core0, core1 = at - j * block, at - j * block - block + 1 + length
                 tag = (j.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
                 raw = hasher.raw(core0, core1)
                 k1 = mix(raw ^ tag)
-                k2 = mix((raw + tag) ^ hasher.of(at, np.minimum(at + GRAM, len(data))) ^ hasher.raw(core0 + 1, core1 - 7))
-                left = core0 - s0
-                right = s1 + length - core1
+                k2 = mix((raw + tag) ^ hasher.of(at, at + GRAM) ^ hasher.raw(core0 + 1, core1 - 7))
+                left, right = core0 - s0, s1 + length - core1
                 size = left + right
                 ends = np.cumsum(size)
                 seat = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
-                l = np.repeat(left, size)
-                source = np.where(seat < l, np.repeat(s0, size) + seat, np.repeat(core1, size) + seat - l)
+                in_left = seat < np.repeat(left, size)
+                source = np.where(in_left, np.repeat(s0, size) + seat, np.repeat(core1 - left, size) + seat)
                 offsets = np.concatenate([[0], ends]).astype(np.int32)
                 flanks = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[source]))])
+                index = pa.array(which)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(rows.start).take(pa.array(row)), pa.array((s0 - limits[row]).astype(np.int32)),
+                        mine.field("h").take(index), mine.field("c").take(index), mine.field("n").take(index), pa.array((s0 - at).astype(np.int16)),
                         pa.array(signed(k1)), pa.array(signed(k2)), flanks, pa.array(left.astype(np.int16)),
                     ],
-                    names=["row", "start", "k1", "k2", "flanks", "left"],
+                    names=["h", "c", "many", "start", "k1", "k2", "flanks", "left"],
                 )
 
     return run
@@ -228,11 +236,20 @@ def column_bwt(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def repeated_starts(k: np.ndarray, flanks: list[bytes], left: np.ndarray, many: np.ndarray, block: int) -> np.ndarray:
-    """Bit i: the window that starts at symbol i of the slice is a repeat. k: number of the slice's core."""
+    """Bit i: the window that starts at symbol i of the slice is a repeat. k: number of the slice's core.
+
+    A slice that is the only one of its core needs no sorting: equal windows share a core, so it repeats itself or nothing."""
     lengths = np.fromiter(map(len, flanks), np.int64, len(flanks))
-    size = lengths + 1
+    windows = lengths + 2 - block
+    masks = np.where(many > 1, (np.int64(1) << windows) - 1, 0)
+    alone = np.bincount(k)[k] == 1
+    rest = np.flatnonzero(~alone)
+    if not len(rest):
+        return masks
+    left, k = left[rest], k[rest]
+    size = lengths[rest] + 1
     ends = np.cumsum(size)
-    body = np.frombuffer(b"".join(flanks), np.uint8)
+    body = np.frombuffer(b"".join(flanks[i] for i in rest.tolist()), np.uint8)
     symbols = np.empty(ends[-1], np.int64)
     core = ends - size + left
     flank = np.ones(len(symbols), bool)
@@ -243,10 +260,10 @@ def repeated_starts(k: np.ndarray, flanks: list[bytes], left: np.ndarray, many:
     long = lcp >= block
     hit = long.copy()
     hit[:-1] |= long[1:]
-    windows = size - block + 1
-    hit = (hit | (many[string] > 1)) & (start < windows[string]) & (start <= left[string])
-    masks = np.zeros(len(flanks), np.int64)
-    np.bitwise_or.at(masks, string[hit], np.int64(1) << start[hit])
+    hit &= (start < size[string] - block + 1) & (start <= left[string])
+    found = np.zeros(len(rest), np.int64)
+    np.bitwise_or.at(found, string[hit], np.int64(1) << start[hit])
+    masks[rest] |= found
     return masks
 
 
@@ -329,14 +346,18 @@ def _distinct(slices: DataFrame) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """rows(row, text) -> (row, start, mask): bit i says that the window at byte start+i is a repeat."""
-    found = rows.mapInArrow(_anchor_rows(length), "row long, at int, h long")
-    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = found.join(often, "h").groupBy("row").agg(F.collect_list("at").alias("wanted"))
+    """rows(row, text) -> (row, at, hits): bit i of a hit's mask says that the window at byte at+start+i is a repeat."""
+    found = written(rows.mapInArrow(_anchor_rows(length), "row long, at int, before short, after short, h long, c long"), "anchors")
+    often = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-grams")
+    repeated = written(found.join(often, "h"), "repeated-anchors")
+    # anchors with one text around them are one string with a multiplicity; its first place stands for all
+    place = F.struct("row", "at", "before", "after")
+    contexts = repeated.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("p"))
+    wanted = contexts.groupBy("p.row").agg(F.collect_list(F.struct("p.at", "p.before", "p.after", "h", "c", "n")).alias("wanted"))
     located = rows.join(wanted, "row").select("row", "text", "wanted")
-    slices = located.mapInArrow(_slice_rows(length, BLOCK), "row long, start int, k1 long, k2 long, flanks binary, left short")
+    slices = located.mapInArrow(_slice_rows(length, BLOCK), "h long, c long, many long, start short, k1 long, k2 long, flanks binary, left short")
     slices = written(slices.withColumn("s", F.xxhash64("k1", "k2", "flanks", "left")), "slices")
-    distinct = _distinct(slices.select("s", "k1", "k2", "flanks", "left", F.lit(1).cast("long").alias("many")))
+    distinct = _distinct(slices.select("s", "k1", "k2", "flanks", "left", "many"))
     heavy = distinct.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k1", "k2")
     heavy = written(heavy, "hot-cores")
     if heavy.isEmpty():
@@ -351,7 +372,9 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
         fine = cut.select("s", "o1", "t", "k1", "base").join(fine.withColumnRenamed("s", "t"), ["t", "k1"])
         fine = fine.groupBy("s", F.col("o1").alias("k1")).agg(F.bit_or(F.expr("shiftleft(mask, base)")).alias("mask"))
         masks = _collections(cold, BLOCK).unionByName(fine)
-    return slices.select("row", "start", "s", "k1").join(masks, ["s", "k1"]).select("row", "start", "mask")
+    hits = slices.select("h", "c", "start", "s", "k1").join(written(masks, "masks"), ["s", "k1"])
+    hits = written(hits.groupBy("h", "c").agg(F.collect_list(F.struct("start", "mask")).alias("hits")), "hits")
+    return repeated.select("row", "at", "h", "c").join(hits, ["h", "c"]).select("row", "at", "hits")
 
 
 def _cut_rows(length: int):
@@ -369,8 +392,8 @@ def _cut_rows(length: int):
                     removed.append(0)
                     spans.append([])
                     continue
-                start = np.array([x["start"] for x in found], np.int64)
-                mask = np.array([x["mask"] for x in found], np.int64)
+                start = np.array([x["at"] + y["start"] for x in found for y in x["hits"]], np.int64)
+                mask = np.array([y["mask"] for x in found for y in x["hits"]], np.int64)
                 hit = (start[:, None] + bits)[(mask[:, None] >> bits & 1).astype(bool)]
                 inside = spread(hit, hit + length, len(body))
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
@@ -397,7 +420,7 @@ def cut_repeats(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFr
         raise ValueError(f"length must be at least {GRAM + BLOCK}")
     prepare(rows.sparkSession)
     rows = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
-    found = repeated_windows(rows, length, hot).groupBy("row").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
+    found = repeated_windows(rows, length, hot).groupBy("row").agg(F.collect_list(F.struct("at", "hits")).alias("found"))
     return rows.join(found, "row", "left").select("row", "text", "found").mapInArrow(_cut_rows(length), CUT_SCHEMA)
 
 
