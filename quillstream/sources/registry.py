@@ -29,4 +29,4 @@ def by_id(table: DataFrame, value: str, column: str = "id") -> DataFrame:
     hit = table.where(F.col(column) == value)
     miss = F.raise_error(F.lit(f"Unknown {column}: {value}"))
     n = hit.agg(F.count("*").alias("n")).select(F.when(F.col("n") == 0, miss.cast("boolean")).otherwise(True).alias("__found"))
-    return n.crossJoin(hit).drop("__found")  # one row on the left
+    return n.join(hit, F.lit(True), "left").where("__found").drop("__found")  # one row on the left
