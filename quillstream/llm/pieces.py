@@ -5,8 +5,8 @@ whose scores add up. A character in no piece is one edge with the unknown score
 byte pieces. The forward Viterbi pass gives the best score from the start to each place; it is an exact heuristic for a
 backward A* search from the end, which therefore pops the N best segmentations in order and expands nothing else.
 
-No piece crosses the start of a run of U+2581, and a character in no piece is a forced edge, so the lattice falls
-apart at those places into chunks (words). Each distinct chunk is searched once (with a bounded memo per worker), and the N best of a
+No piece crosses the start of a run of U+2581 or a change from letters to punctuation (read off the vocabulary), and a character in no piece is
+a forced edge, so the lattice falls apart at those places into chunks (words). Each distinct chunk is searched once (with a bounded memo per worker), and the N best of a
 text are the N smallest sums of losses over its chunks, which only its N-1 least losses can take part in.
 
 Defined results: null text = empty = no pieces, score 0, no alternatives; fewer than N segmentations give fewer alternatives; equal scores come in the order of the
@@ -18,6 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import string
+import struct
+from bisect import insort
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -32,7 +35,9 @@ from .shared import documents, keyed_text, prepare
 N_BEST = 4
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO = 150_000
+#: Entries of one generation of a worker's memo of chunks.
+MEMO = 250_000
+INFINITE = float("inf")
 
 
 def load(path: str) -> dict:
@@ -50,117 +55,208 @@ def load(path: str) -> dict:
     if model.encode(" a  Ａ", out_type=str) and "Ａ" not in model.decode(model.encode("Ａ")):
         raise ValueError(f"{path}: the model normalises its input")
     characters = set("".join(normal))
+    # punctuation that no piece has behind another kind of character, but for a few rare ones
+    before = {p: {a for piece in normal for a, b in zip(piece, piece[1:]) if b == p} for p in string.punctuation}
+    marks = {p for p, b in before.items() if not any(c.isascii() and c.isalnum() for c in b)}
+    while wide := {p for p in marks if sum(c not in marks and c != SPACE for c in before[p]) > 20}:
+        marks -= wide
+    rare = {c for p in marks for c in before[p] if c not in marks and c != SPACE}
     return {
         "normal": normal,
         "bytes": [byte[f"<0x{b:02X}>"] for b in range(256)],
-        "prefixes": {p[:k] for p in normal for k in range(1, len(p) + 1)},
         "unknown": min(s for _, s in normal.values()) - UNKNOWN_PENALTY,
         "cuts": "".join(c for c in "\n\r\t" if c not in characters),
+        "marks": "".join(sorted(marks)),
+        "rare": "".join(sorted(rare)),
         "dummy_prefix": model.encode("a", out_type=str)[0].startswith(SPACE),
     }
 
 
 class Lattice(dict):
-    """chunk -> (ids as little-endian int32, number of ids, best score, loss of the second best, alternatives)."""
+    """chunk -> (ids as little-endian int32, number of ids, best score, loss of the second best).
+
+    Two generations bound the memo: when the young one is full it becomes the old one, from which what is met again moves back. All N
+    segmentations are searched for only where a text can need them, in the chunks of its N-1 least losses."""
 
     def __init__(self, model: dict, n: int = N_BEST):
         super().__init__()
         self.n = n
-        self.normal, self.prefixes, self.unknown = model["normal"], model["prefixes"], model["unknown"]
+        self.old: dict[str, tuple] = {}
+        self.full: dict[str, list] = {}
+        self.normal, self.unknown = model["normal"], model["unknown"]
+        self.trie: dict = {}  # character -> node; "" -> (ids, score) of the piece that ends there
+        for piece, (i, score) in self.normal.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = ((i,), score)
         self.byte_ids = model["bytes"]
         self.dummy = SPACE if model["dummy_prefix"] else ""
         cuts = regex.escape(model["cuts"])
-        other = f"[^{SPACE}{cuts}]"
-        self.split = regex.compile(f"{SPACE}*{other}+|{SPACE}+" + (f"|[{cuts}]" if cuts else "")).findall
+        marks = regex.escape(model["marks"])
+        cut = f"|[{cuts}]" if cuts else ""
+        self.coarse = regex.compile(f"{SPACE}*[^{SPACE}{cuts}]+|{SPACE}+{cut}").findall
+        self.split = regex.compile(f"{SPACE}*[{marks}]*[^{SPACE}{marks}{cuts}]+|{SPACE}*[{marks}]+|{SPACE}+{cut}").findall if marks else self.coarse
+        self.rare = regex.compile(f"[{regex.escape(model['rare'])}]").search if model["rare"] else lambda text: None
         self.surface = [b""] * (1 + max([i for i, _ in self.normal.values()] + self.byte_ids))
         for piece, (i, _) in self.normal.items():
             self.surface[i] = piece.replace(SPACE, " ").encode("utf-8")
         for b, i in enumerate(self.byte_ids):
             self.surface[i] = bytes([b])
 
-    def search(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The N best segmentations, best first."""
-        size, normal, prefixes = len(chunk), self.normal, self.prefixes
-        into: list[list] = [[] for _ in range(size + 1)]
-        best = [0.0] + [float("-inf")] * size
+    def forward(self, chunk: str) -> tuple[list[tuple], list[float], list[int]]:
+        """Viterbi pass: the lattice's edges (start, end, score, ids) by start, the best score up to each place, the edge that gives it."""
+        size, trie = len(chunk), self.trie
+        edges: list[tuple] = []
+        best = [-INFINITE] * (size + 1)
+        back = [-1] * (size + 1)
+        best[0] = 0.0
+        n = 0
         for i in range(size):
-            here, single = best[i], False
-            for j in range(i + 1, size + 1):
-                part = chunk[i:j]
-                if part not in prefixes:
+            here, node, single = best[i], trie, False
+            j = i
+            for c in chunk[i:]:
+                node = node.get(c)
+                if node is None:
                     break
-                piece = normal.get(part)
+                j += 1
+                piece = node.get("")
                 if piece is not None:
-                    single = single or j == i + 1
-                    into[j].append((i, piece[1], (piece[0],)))
-                    if here + piece[1] > best[j]:
-                        best[j] = here + piece[1]
+                    if j == i + 1:
+                        single = True
+                    ids, score = piece
+                    edges.append((i, j, score, ids))
+                    if here + score > best[j]:
+                        best[j] = here + score
+                        back[j] = n
+                    n += 1
             if not single:
-                into[i + 1].append((i, self.unknown, tuple(self.byte_ids[b] for b in chunk[i].encode("utf-8"))))
+                edges.append((i, i + 1, self.unknown, tuple(self.byte_ids[b] for b in chunk[i].encode("utf-8"))))
                 if here + self.unknown > best[i + 1]:
                     best[i + 1] = here + self.unknown
+                    back[i + 1] = n
+                n += 1
+        return edges, best, back
+
+    def search(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
+        """The N best segmentations, best first: backward A* with the forward scores as its heuristic.
+
+        As the heuristic is exact, each entry of the queue stands for a segmentation of exactly its total score, and different entries for
+        different ones. So only as many entries as results are still wanted can matter, and the queue is a short sorted list."""
+        edges, best, _ = self.forward(chunk)
+        size = len(chunk)
+        into: list[list] = [[] for _ in range(size + 1)]
+        for edge in edges:
+            into[edge[1]].append(edge)
         found: list[tuple[float, tuple[int, ...]]] = []
-        order = 0
-        heap = [(-best[size], 0, size, 0.0, None)]
-        while heap and len(found) < self.n:
-            total, _, at, behind, tail = heapq.heappop(heap)
+        order, wanted = 0, self.n
+        queue = [(-best[size], 0, size, 0.0, None)]
+        while queue:
+            total, _, at, behind, tail = queue.pop(0)
             if at == 0:
                 ids: list[int] = []
                 while tail is not None:
                     ids.extend(tail[0])
                     tail = tail[1]
                 found.append((-total, tuple(ids)))
+                wanted -= 1
+                if not wanted:
+                    break
                 continue
-            for start, score, ids in into[at]:
-                order += 1
-                heapq.heappush(heap, (-(best[start] + score + behind), order, start, score + behind, (ids, tail)))
+            for start, _, score, ids in into[at]:
+                after = score + behind
+                cost = -(best[start] + after)
+                if len(queue) < wanted or cost < queue[-1][0]:
+                    order += 1
+                    insort(queue, (cost, order, start, after, (ids, tail)))
+                    if len(queue) > wanted:
+                        queue.pop()
         return found
 
+    def best_and_loss(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
+        """(ids and score of the best segmentation, loss of the second best).
+
+        The second best uses an edge off the best path, and the best segmentation through an edge is what leads to it plus what follows."""
+        edges, best, back = self.forward(chunk)
+        size = at = len(chunk)
+        on, ids = set(), ()
+        while at:
+            on.add(back[at])
+            edge = edges[back[at]]
+            ids = edge[3] + ids
+            at = edge[0]
+        rest = [-INFINITE] * (size + 1)
+        rest[size] = 0.0
+        second = -INFINITE
+        for k in range(len(edges) - 1, -1, -1):
+            i, j, score, _ = edges[k]
+            score += rest[j]
+            if score > rest[i]:
+                rest[i] = score
+            if best[i] + score > second and k not in on:
+                second = best[i] + score
+        return ids, best[size], best[size] - second
+
     def __missing__(self, chunk: str) -> tuple:
-        found = self.search(chunk)
-        score, ids = found[0]
-        alternatives = tuple((score - s, i) for s, i in found[1:])
-        entry = (np.array(ids, "<i4").tobytes(), len(ids), score, alternatives[0][0] if alternatives else float("inf"), alternatives)
+        entry = self.old.get(chunk)
+        if entry is None:
+            ids, score, loss = self.best_and_loss(chunk)
+            entry = (struct.pack(f"<{len(ids)}i", *ids), len(ids), score, loss)
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
         self[chunk] = entry
         return entry
 
+    def alternatives(self, chunk: str) -> list[tuple[float, tuple[int, ...]]]:
+        """(loss, ids) of the second to the N-th best."""
+        found = self.full.get(chunk)
+        if found is None:
+            best, *rest = self.search(chunk)
+            found = [(best[0] - s, ids) for s, ids in rest]
+            if len(self.full) >= MEMO // 10:
+                self.full.clear()
+            self.full[chunk] = found
+        return found
+
     def chunks(self, text: str) -> list[str]:
-        return self.split((self.dummy + text).replace(" ", SPACE)) if text else []
+        if not text:
+            return []
+        split = self.coarse if self.rare(text) else self.split
+        return split((self.dummy + text).replace(" ", SPACE))
 
     def encode(self, text: str) -> tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
         """(ids, score, alternatives): an alternative is (score, [(first id that changes, how many go, ids in their place)])."""
-        entries = list(map(self.__getitem__, self.chunks(text)))
+        parts = self.chunks(text)
+        entries = list(map(self.__getitem__, parts))
         ids = np.frombuffer(b"".join(map(itemgetter(0), entries)), "<i4")
         score = sum(map(itemgetter(2), entries))
-        losses = np.fromiter(map(itemgetter(3), entries), float, len(entries))
         k = min(self.n - 1, len(entries))
         if k < 1:
             return ids, score, []
+        losses = np.fromiter(map(itemgetter(3), entries), float, len(entries))
         limit = np.partition(losses, k - 1)[k - 1]
         near = np.flatnonzero(losses <= limit)
         near = sorted(near[np.isfinite(losses[near])].tolist(), key=lambda i: (losses[i], i))[:k]
         begins = np.concatenate([[0], np.cumsum(np.fromiter(map(itemgetter(1), entries), np.int64, len(entries)))])
+        options = [self.alternatives(parts[i]) for i in near]
         return ids, score, [
-            (score - loss, sorted((int(begins[near[p]]), entries[near[p]][1], list(entries[near[p]][4][a][1])) for p, a in choice))
-            for loss, choice in self._least(near, entries)
+            (score - loss, sorted((int(begins[near[p]]), entries[near[p]][1], list(options[p][a][1])) for p, a in choice)) for loss, choice in self._least(options)
         ]
 
-    def _least(self, near: list[int], entries: list[tuple]) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+    def _least(self, options: list[list[tuple]]) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
         """The N-1 smallest sums of losses, one alternative a chunk at most, best first."""
-        heap = [(entries[c][4][0][0], ((p, 0),)) for p, c in enumerate(near)]
+        heap = [(o[0][0], ((p, 0),)) for p, o in enumerate(options)]
         heapq.heapify(heap)
         out = []
         while heap and len(out) < self.n - 1:
             loss, choice = heapq.heappop(heap)
             out.append((loss, choice))
             p, a = choice[-1]  # grow only the last choice or add a later chunk: every set is made once
-            options = entries[near[p]][4]
-            if a + 1 < len(options):
-                heapq.heappush(heap, (loss - options[a][0] + options[a + 1][0], (*choice[:-1], (p, a + 1))))
-            for q in range(p + 1, len(near)):
-                heapq.heappush(heap, (loss + entries[near[q]][4][0][0], (*choice, (q, 0))))
+            if a + 1 < len(options[p]):
+                heapq.heappush(heap, (loss - options[p][a][0] + options[p][a + 1][0], (*choice[:-1], (p, a + 1))))
+            for q in range(p + 1, len(options)):
+                heapq.heappush(heap, (loss + options[q][0][0], (*choice, (q, 0))))
         return out
 
     def decode(self, ids: list[int]) -> str:
