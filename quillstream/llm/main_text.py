@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import prepare, written
+from .shared import prepare, with_row, written
 
 LEAST_PAGES = 5
 LOW = 0.2
@@ -300,7 +300,7 @@ def importance(nodes: DataFrame) -> DataFrame:
     return both.select("host", "node", "pages", ((1 - PRESENTATION_WEIGHT) * F.col("hc") + PRESENTATION_WEIGHT * F.col("hl")).alias("importance"))
 
 
-EXTRACTED = "key long, text string, n_blocks long"
+EXTRACTED = "key long, url string, text string, n_blocks long"
 
 
 def _extract(template: dict[str, set[int]] | None):
@@ -315,13 +315,13 @@ def _extract(template: dict[str, set[int]] | None):
                     found = blocks(parse(source), cut) if source else []
                     texts.append("\n\n".join(found).encode("utf-8", "replace").decode("utf-8"))
                     counts.append(len(found))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["key", "text", "n_blocks"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("url"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["key", "url", "text", "n_blocks"])
 
     return run
 
 
 def extract(pages: DataFrame, most_broadcast: int = BROADCAST_NODES) -> DataFrame:
-    """pages(key unique, url, html) -> (key, text, n_blocks)."""
+    """pages(key, url, html) -> (key, url, text, n_blocks); keys may repeat."""
     spark = pages.sparkSession
     prepare(spark)
     pages = pages.select("key", "url", "html")
@@ -333,12 +333,12 @@ def extract(pages: DataFrame, most_broadcast: int = BROADCAST_NODES) -> DataFram
         for row in low.collect():
             template.setdefault(row.host, set()).add(row.node % 2**64)
         return pages.mapInArrow(_extract(template), EXTRACTED)
+    pages = with_row(pages, "key")
+    nodes = pages.select(F.col("__row").alias("key"), "url", "html").mapInArrow(_nodes, "key long, host string, node long, content long, look long, page long")
     own = nodes.select("key", "host", "node").join(low, ["host", "node"]).groupBy("key").agg(F.collect_list("node").alias("template"))
-    return pages.join(own, "key", "left").select("key", "url", "html", "template").mapInArrow(_extract(None), EXTRACTED)
+    return pages.join(own.withColumnRenamed("key", "__row"), "__row", "left").select("key", "url", "html", "template").mapInArrow(_extract(None), EXTRACTED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    texts = extract(pages.select(F.col("page_id").alias("key"), "url", "html"))
-    held = pages.select("page_id", "url")
-    return held.join(texts, held.page_id == texts.key).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("key"), "url", "html")
+    return extract(pages).select(F.col("key").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
