@@ -65,4 +65,11 @@ def with_row(docs: DataFrame, id_col: str = "doc_id", name: str = "__row") -> Da
     twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
     if twice.isEmpty():
         return docs.withColumn(name, F.col(id_col).cast("long"))
-    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    numbered = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    numbered._quillstream_numbered = True
+    return numbered
+
+
+def is_numbered(docs: DataFrame) -> bool:
+    """Whether with_row() had to make numbers."""
+    return getattr(docs, "_quillstream_numbered", False)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import Hasher, chunks, mix, signed, spread, text_buffers
-from .shared import documents, prepare, written
+from .shared import documents, is_numbered, prepare, with_row, written
 
 LENGTH = 400
 GRAM = 32
@@ -441,5 +441,10 @@ def dedup_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("row"), "text")
-    return cut_repeats(rows).select(F.col("row").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = with_row(documents(spark, sf_dir).select("doc_id", "text"))
+    cut = cut_repeats(docs.select(F.col("__row").alias("row"), "text"))
+    if is_numbered(docs):
+        cut = cut.join(docs.select(F.col("__row").alias("row"), "doc_id"), "row")
+    else:
+        cut = cut.withColumnRenamed("row", "doc_id")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -76,3 +76,12 @@ def test_pipeline_form(spark):
     assert out == [(3, "own text", 8), (3, "tail  end", 9), (5, "", 0)]
     assert sd.dedup_documents(docs).columns == docs.columns
     assert sd.dedup_documents(docs.limit(0)).count() == 0
+
+
+def test_query_tells_repeated_ids_apart(spark, tmp_path):
+    texts = corpus(5)
+    rows = [(i % 60, t) for i, t in enumerate(texts)]
+    for name, table in (("twice", rows), ("unique", list(enumerate(texts)))):
+        spark.createDataFrame(table, "doc_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in sd.query(spark, str(tmp_path / name)).collect())
+        assert got == sorted((d, *w) for (d, _), w in zip(table, brute(texts, sd.LENGTH)))
