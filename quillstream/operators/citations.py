@@ -171,7 +171,7 @@ def same_strings(a: Column, b: Column) -> Column:
 def sentence_issues(summaries: DataFrame, article_versions: DataFrame, claims: DataFrame) -> DataFrame:
     """Well-formed summaries(summary_id, snapshot_id, body) -> issues of their sentences and citations."""
     parsed = summaries.select("summary_id", "snapshot_id", F.from_json("body", SENTENCES).alias("b"))
-    rows = parsed.select("summary_id", "snapshot_id", F.posexplode("b.sentences").alias("pos", "s"))
+    rows = cut(parsed.select("summary_id", "snapshot_id", F.posexplode("b.sentences").alias("pos", "s")))  # parsed once for all checks
     path = F.concat(F.lit("$.sentences["), F.col("pos").cast("string"), F.lit("]"))
     out = lambda df, code, where, **refs: df.select(
         "summary_id", F.lit(code).alias("code"), where.alias("path"), F.col("s.id").alias("sentence_id"), *(refs.get(n, F.lit(None).cast("string")).alias(n) for n in ("article_id", "article_version_id", "claim_id"))
@@ -196,7 +196,7 @@ def sentence_issues(summaries: DataFrame, article_versions: DataFrame, claims: D
         out(met_claims.where(moved), "claim-provenance-mismatch", kpath, claim_id=F.col("claim"), **refs),
     ]
     gathered = met_claims.groupBy("summary_id", "pos").agg(F.collect_set("claim").alias("ids"), F.collect_list("k").alias("ks"))  # bounded by one sentence
-    whole = rows.join(gathered, ["summary_id", "pos"], "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+    whole = cut(rows.join(gathered, ["summary_id", "pos"], "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>"))))
     parts.append(out(whole.where(~same_strings(F.col("s.claimIds"), F.col("ids"))), "claim-set-mismatch", F.concat(path, F.lit(".claimIds"))))
     backed = whole.where(F.size(F.coalesce("ks", F.array())) > 0)
     a = lambda n: F.col(f"s.assertion.{n}")
