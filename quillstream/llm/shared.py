@@ -73,3 +73,15 @@ def with_row(docs: DataFrame, id_col: str = "doc_id", name: str = "__row") -> Da
 def is_numbered(docs: DataFrame) -> bool:
     """Whether with_row() had to make numbers."""
     return getattr(docs, "_quillstream_numbered", False)
+
+
+#: Ids that a broadcast may hold (8 bytes each); beyond it rows are dropped by a shuffled join.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, name: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """docs without the rows whose column `name` is in the one column of gone; texts move only if gone is too large to broadcast."""
+    ids = written(gone.toDF("__gone").distinct(), "gone")
+    if ids.count() <= most:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[name] == ids["__gone"], "left_anti")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import documents, keyed_text, prepare, written
+from .shared import documents, keyed_text, prepare, without, written
 
 SHINGLE = 3
 SEED = 42
@@ -97,8 +97,7 @@ def near_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     Rows without doc_id stay; of rows that share a doc_id all stay if it is the smallest.
     """
-    gone = classes(docs, max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return without(docs, classes(docs, max_bits).where("doc_id <> component_id").select("doc_id"), "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,9 +38,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .kernel import Hasher, chunks, mix, signed, spread, text_buffers
-from .shared import documents, is_numbered, prepare, with_row, written
+from .shared import documents, drop_written, is_numbered, prepare, with_row, written
 
 LENGTH = 400
 GRAM = 32
@@ -374,11 +375,13 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
         masks = _collections(cold, BLOCK).unionByName(fine)
     hits = slices.select("h", "c", "start", "s", "k1").join(written(masks, "masks"), ["s", "k1"])
     hits = written(hits.groupBy("h", "c").agg(F.collect_list(F.struct("start", "mask")).alias("hits")), "hits")
+    for done in (found, often, slices, heavy):  # nothing after this reads them
+        drop_written(done)
     return repeated.select("row", "at", "h", "c").join(hits, ["h", "c"]).select("row", "at", "hits")
 
 
-def _cut_rows(length: int):
-    """(row, doc_id, text, starts, masks) -> what stays of each text."""
+def _cut_rows(length: int, keep: list[str]):
+    """(row, text, found, other columns) -> what stays of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.arange(BLOCK)
@@ -404,8 +407,9 @@ def _cut_rows(length: int):
                 [
                     batch.column("row"), pa.array(np.diff(limits)), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()),
                     pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
+                    *(batch.column(c) for c in keep),
                 ],
-                names=["row", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
+                names=["row", "n_bytes", "n_removed", "n_spans", "kept", "spans", *keep],
             )
 
     return run
@@ -414,14 +418,15 @@ def _cut_rows(length: int):
 CUT_SCHEMA = "row long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<begin: long, end: long>>"
 
 
-def cut_repeats(rows: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """rows(row unique, text) -> (row, n_bytes, n_removed, n_spans, kept binary, spans)."""
+def cut_repeats(rows: DataFrame, length: int = LENGTH, hot: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """rows(row unique, text, columns to keep) -> (row, n_bytes, n_removed, n_spans, kept binary, spans, those columns)."""
     if length < GRAM + BLOCK:
         raise ValueError(f"length must be at least {GRAM + BLOCK}")
     prepare(rows.sparkSession)
-    rows = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
-    found = repeated_windows(rows, length, hot).groupBy("row").agg(F.collect_list(F.struct("at", "hits")).alias("found"))
-    return rows.join(found, "row", "left").select("row", "text", "found").mapInArrow(_cut_rows(length), CUT_SCHEMA)
+    texts = rows.select("row", F.coalesce("text", F.lit("")).alias("text"), *keep)
+    found = repeated_windows(texts.select("row", "text"), length, hot).groupBy("row").agg(F.collect_list(F.struct("at", "hits")).alias("found"))
+    schema = StructType(_parse_datatype_string(CUT_SCHEMA).fields + [texts.schema[c] for c in keep])
+    return texts.join(found, "row", "left").select("row", "text", "found", *keep).mapInArrow(_cut_rows(length, list(keep)), schema)
 
 
 def dedup_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -429,15 +434,16 @@ def dedup_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A document that loses all its text goes; one that was empty or null before stays as it is. A cut can split a
     UTF-8 character: the bytes that are left of it go too."""
-    held = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    cut = cut_repeats(held.select(F.col("__row").alias("row"), "text"), length).where("n_removed > 0")
-    rest = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")
-    joined = held.join(cut.select(F.col("row").alias("__row"), rest.alias("__rest")), "__row", "left")
-    joined = joined.where("__rest is null or length(__rest) > 0").withColumn("text", F.coalesce("__rest", "text"))
-    if "n_chars" in docs.columns:
-        n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        joined = joined.withColumn("n_chars", F.when(F.col("__rest").isNotNull(), n).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns) if c != "text"}  # no clash with the columns made here
+    held = with_row(docs).select(F.col("__row").alias("row"), "text", F.col("text").isNull().alias("__null"), *(F.col(c).alias(n) for c, n in names.items()))
+    cut = cut_repeats(held, length, keep=("__null", *names.values()))
+    whole = F.col("kept").cast("string")
+    rest = F.when(F.col("__null"), F.lit(None)).when(F.col("n_removed") == 0, whole).otherwise(F.regexp_replace(F.make_valid_utf8(whole), "\uFFFD", ""))
+    out = cut.withColumn("__text", rest).where("n_removed = 0 or length(__text) > 0")
+    if "n_chars" in names:
+        n = F.length("__text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn(names["n_chars"], F.when(F.col("n_removed") > 0, n).otherwise(F.col(names["n_chars"])))
+    return out.select(*(F.col("__text" if c == "text" else names[c]).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
