@@ -2,7 +2,8 @@
 
 A chunk is a run of rows whose texts lie in one uint8 array, with row limits in an int64 array.
 Hashes are 64-bit polynomials of the bytes (prefix sums modulo 2**64), finished by a mixer, so
-the hash of any slice costs two lookups.
+the hash of any slice costs two lookups. Powers of two have known colliding strings from 512 bytes on (Thue-Morse), so
+what rests on the hash of a long slice adds a second polynomial modulo a prime (`Hasher.wide`).
 """
 
 from __future__ import annotations
@@ -39,6 +40,26 @@ def _series(factor: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_PRIME = np.uint64(2**31 - 1)
+_prime_powers: list[np.ndarray] = []
+
+
+def _prime_series(factor: int, n: int) -> np.ndarray:
+    """Powers of factor modulo the prime, by doubling."""
+    p = int(_PRIME)
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(factor, len(out), p)) % _PRIME])
+    return out[:n]
+
+
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _prime_powers or len(_prime_powers[0]) < n:
+        base = 0x2545F491 % int(_PRIME)
+        _prime_powers[:] = [_prime_series(base, n), _prime_series(pow(base, -1, int(_PRIME)), n)]
+    return _prime_powers[0], _prime_powers[1]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         _powers[:] = [_series(_BASE, n), _series(_INVERSE, n)]
@@ -49,6 +70,7 @@ class Hasher:
     """Hashes of slices of one byte array."""
 
     def __init__(self, data: np.ndarray):
+        self.data, self.primes = data, None
         power, self.inverse = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_SEEDS[data] * power[: len(data)], out=self.sums[1:])
@@ -56,6 +78,16 @@ class Hasher:
     def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
 
+    def wide(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """raw() with the polynomial modulo the prime mixed in."""
+        if self.primes is None:
+            power, self.prime_inverse = prime_powers(len(self.data) + 1)
+            self.primes = np.zeros(len(self.data) + 1, dtype=np.uint64)
+            # terms below 2**31, so sums of up to 2**33 of them are exact
+            np.cumsum((_SEEDS % _PRIME)[self.data] * power[: len(self.data)] % _PRIME, out=self.primes[1:])
+        second = (self.primes[ends] - self.primes[starts]) % _PRIME * self.prime_inverse[starts] % _PRIME
+        return self.raw(starts, ends) ^ mix(second + np.uint64(1))
+
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """uint64 hashes of data[starts[i]:ends[i]]; the length counts too."""
         return mix(self.raw(starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

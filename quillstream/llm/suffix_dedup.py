@@ -99,7 +99,7 @@ def _anchor_rows(length: int):
             for rows, data, limits in chunks(batch):
                 hasher = Hasher(data)
                 at, hashes, lo, hi, row = anchors(data, limits, hasher, length)
-                context = mix(hasher.of(lo, hi + length) + (at - lo).astype(np.uint64))
+                context = mix(mix(hasher.wide(lo, hi + length)) + ((at - lo) * (2 * length) + hi - lo).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(rows.start).take(pa.array(row)), pa.array((at - limits[row]).astype(np.int32)), pa.array((at - lo).astype(np.int16)),
@@ -135,7 +135,7 @@ def _slice_rows(length: int, block: int):
                 s1 = np.minimum(hi[which], at - j * block)
                 core0, core1 = at - j * block, at - j * block - block + 1 + length
                 tag = (j.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                raw = hasher.raw(core0, core1)
+                raw = hasher.wide(core0, core1)
                 k1 = mix(raw ^ tag)
                 k2 = mix((raw + tag) ^ hasher.of(at, at + GRAM) ^ hasher.raw(core0 + 1, core1 - 7))
                 left, right = core0 - s0, s1 + length - core1

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -47,13 +48,45 @@ def test_n_best_equals_all_segmentations(model):
     for n in (1, 2, 5):
         lattice = pieces.Lattice(model, n)
         for text in texts:
-            ids, score, others = lattice.encode(text)
+            merged, ids, score, others = lattice.encode(text)
             want = every_segmentation(lattice, ("▁" + text).replace(" ", "▁"))
             got = [(score, ids.tolist())] + [(s, applied(ids.tolist(), c)) for s, c in others]
             assert [s for s, _ in got] == [s for s, _ in want[:n]]
             assert len({tuple(i) for _, i in got}) == len(got)
             assert all((s, i) in want for s, i in got)
-            assert lattice.decode(ids.tolist()) == text
+            assert lattice.decode(ids.tolist()) == lattice.decode(merged.tolist()) == text
+
+
+def test_ids_equal_the_library(model):
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    r = random.Random(5)
+    texts = ["", " ", "  two  spaces ", "a▁b", "line\nline\r\n\tx", "\U0001f9ea 文 é", "…”word“ – x²", "\x00", "日本語 x" * 30, "x" * 500, "the" * 40 + "!?" * 30, "the " * 300]
+    texts += ["".join(r.choice("thean ioéß.,'\n\U0001f600§") for _ in range(r.randint(1, 120))) for _ in range(300)]
+    got = pieces.Lattice(model, 2).encode_all(texts)
+    assert [x[0].tolist() for x in got] == library.encode(texts)
+
+
+def test_array_steps_equal_the_search_of_one_chunk(model):
+    """Short chunks go through arrays, long ones one at a time: both ways agree on both."""
+    r = random.Random(6)
+    chunks = list({"▁" * r.randint(0, 1) + "".join(r.choice("theanioé€") for _ in range(r.randint(1, pieces.LONG))) for _ in range(300)})
+    lattice = pieces.Lattice(model, 2)
+    rows = [lattice[c] for c in chunks]
+    lattice.learn()
+    for row, chunk in zip(rows, chunks):
+        ids, score, loss = lattice.best_and_loss(chunk)
+        one = np.array([row])
+        assert (tuple(lattice.best.take(one)[0].tolist()), lattice.scores[row]) == (ids, score)
+        assert lattice.losses[row] == pytest.approx(loss) and lattice.merged.take(one)[0].tolist() == lattice.merge(chunk)
+
+
+def test_full_memo_changes_nothing(model, monkeypatch):
+    texts = ["the cat in the hat", "one two three", "x" * 90, "the cat"] * 3
+    want = [(a.tolist(), b.tolist(), s, o) for a, b, s, o in pieces.Lattice(model, 3).encode_all(texts)]
+    monkeypatch.setattr(pieces, "MEMO", 3)
+    lattice = pieces.Lattice(model, 3)
+    got = [x for t in texts for x in lattice.encode_all([t])]
+    assert [(a.tolist(), b.tolist(), s, o) for a, b, s, o in got] == want
 
 
 def test_viterbi_equals_the_library_as_a_unigram_model(model):
@@ -78,7 +111,7 @@ def test_viterbi_equals_the_library_as_a_unigram_model(model):
     for _ in range(60):
         text = " ".join("".join(r.choice("theanioé.") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 6)))
         theirs = found.nbest_encode_as_ids(text, 3)
-        ids, best, others = lattice.encode(text)
+        _, ids, best, others = lattice.encode(text)
         assert [best] + [s for s, _ in others] == [sum(score[i] for i in x) for x in theirs]
 
 
@@ -90,6 +123,8 @@ def test_round_trip_and_edge_cases(spark):
     assert all(x.round_trip for x in rows) and len(rows) == len(texts)
     back = sorted((x.doc_id, x.text) for x in pieces.decode(out, PATH).collect())
     assert back == sorted((i % 8, (t or "").replace("▁", " ")) for i, t in enumerate(texts))
+    best = sorted((x.doc_id, x.text) for x in pieces.decode(out, PATH, "best_ids").collect())
+    assert best == back
     assert pieces.encode(docs.limit(0), PATH).count() == 0
     for x in rows:
         scores = [x.score] + [a.score for a in x.alternatives]
@@ -101,5 +136,5 @@ def test_document_sums_equal_brute_force(model):
     chunks = ["▁the", "▁on", "▁in"]
     options = [lattice.search(c) for c in chunks]
     want = sorted((-sum(o[0] for o in pick) for pick in itertools.product(*options)))[:6]
-    _, best, others = lattice.encode("the on in")
+    _, _, best, others = lattice.encode("the on in")
     assert [-best] + [-s for s, _ in others] == want

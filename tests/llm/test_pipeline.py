@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from quillstream.llm import decontaminate, pieces, quality, simhash
+from quillstream.llm import pieces
 
 
 def corpus(path, spark):
@@ -37,6 +39,33 @@ def test_each_stage_takes_effect(spark, tmp_path):
     assert {x.doc_id: lattice.decode(x.ids) for x in out} == {d: x.text for d, x in texts.items() if d != 103}
 
 
-def test_modules_are_the_operators_of_the_stages():
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "SimHash near-dedup", "suffix-array dedup", "benchmark decontamination", "SentencePiece encoding"]
-    assert corpus_pipeline.ORACLE_SQL is None and quality and simhash and decontaminate
+def test_stages_on_empty_tables_nulls_ties_and_clashing_names(spark, tmp_path):
+    passage = corpus(str(tmp_path), spark)
+    assert passage
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    clash = docs.withColumn("row", F.lit("x")).withColumn("kept", F.lit(1)).withColumn("text_hash", F.lit(None).cast("string"))
+    nulls = clash.unionByName(clash.where("doc_id = 7")).unionByName(clash.limit(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in clash.schema)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, nulls, str(tmp_path))
+        assert out.columns == nulls.columns, name
+        assert out.where("doc_id = 7").count() >= 1, name
+    assert corpus_pipeline.STAGES[-1][1](spark, nulls, str(tmp_path)).where("doc_id = 7").count() == 2
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_shortest_passages_of_over_fifty_words_are_cut(spark, tmp_path):
+    r = random.Random(11)
+    make = lambda n, k: " ".join("".join(r.choice("aeionrst") for _ in range(k)) for _ in range(n))
+    passage = make(51, 4)
+    rows = [(i, make(80, 5) + "\n" + passage + "\n" + make(80, 5)) for i in range(3)] + [(9, make(150, 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {x.doc_id: x.text for x in corpus_pipeline.repeated_passages(spark, docs, str(tmp_path)).collect()}
+    assert len(passage) < 400 and all(passage not in out[i] and len(out[i]) < len(rows[i][1]) - 200 for i in range(3))
+    assert out[9] == rows[3][1]

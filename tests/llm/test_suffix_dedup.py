@@ -85,3 +85,50 @@ def test_query_tells_repeated_ids_apart(spark, tmp_path):
         spark.createDataFrame(table, "doc_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
         got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in sd.query(spark, str(tmp_path / name)).collect())
         assert got == sorted((d, *w) for (d, _), w in zip(table, brute(texts, sd.LENGTH)))
+
+
+def test_a_core_with_more_slices_than_hot(spark):
+    """One core whose flanks differ in more than HOT slices is cut again; equal to a count of all windows."""
+    length, r = 64, np.random.RandomState(4)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    tries = letters[r.randint(0, 26, 400_000)]
+    at = np.arange(len(tries) - sd.GRAM)
+    core = tries[(best := int(sd.Hasher(tries).of(at, at + sd.GRAM).argmin())) : best + sd.GRAM + 1].tobytes()  # every window around it picks this gram
+    n = sd.HOT + 3000
+    flanks = letters[r.randint(0, 26, (n, 62))]
+    flanks[:1500, 12:44] = flanks[1500:3000, 12:44]  # these pairs share windows
+    flanks[100:110] = flanks[90:100]
+    texts = [f[:31].tobytes().decode() + core.decode() + f[31:].tobytes().decode() for f in flanks]
+    windows = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    want = {}
+    for row, t in enumerate(texts):
+        gone = set()
+        for i in range(len(t) - length + 1):
+            if windows[t[i : i + length]] > 1:
+                gone.update(range(i, i + length))
+        want[row] = len(gone)
+    assert sum(map(bool, want.values())) >= 2900
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    slices = rows.count()
+    assert slices > sd.HOT
+    assert {x.row: x.n_removed for x in sd.cut_repeats(rows, length).select("row", "n_removed").collect()} == want
+
+
+def test_long_slices_with_known_collisions_are_told_apart():
+    """Thue-Morse strings and their complements collide in polynomials modulo a power of two."""
+    morse = np.array([bin(i).count("1") % 2 for i in range(2048)])
+    data = np.where(np.r_[morse, 1 - morse] == 1, ord("b"), ord("a")).astype(np.uint8)
+    hasher = sd.Hasher(data)
+    a, b = np.array([0]), np.array([2048])
+    assert hasher.raw(a, a + 2048) == hasher.raw(b, b + 2048)
+    assert hasher.wide(a, a + 2048) != hasher.wide(b, b + 2048)
+    again = sd.Hasher(np.concatenate([data, data]))
+    assert again.wide(a, a + 1500) == again.wide(a + 4096, a + 5596)
+
+
+def test_one_very_long_text(spark):
+    r = random.Random(8)
+    passage, filler = ("".join(r.choice("abcdefgh ") for _ in range(n)) for n in (900, 1_500_000))
+    rows = spark.createDataFrame([(1, filler[:700_000] + passage + filler[700_000:]), (2, passage), (3, filler[:399])], "row long, text string")
+    got = {x.row: x.n_removed for x in sd.cut_repeats(rows).collect()}
+    assert got == {1: 900, 2: 900, 3: 0}
