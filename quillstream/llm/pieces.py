@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import pickle
 import re
 import string
 from bisect import insort
@@ -28,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -544,6 +546,11 @@ class Lattice(dict):
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
+def _sent(spark: SparkSession, lattice: Lattice):
+    """The lattice as bytes for all tasks: building it takes seconds, reading it does not. Its size is that of the model file and its prefixes."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(lattice))
+
+
 ENCODED = (
     "doc_id long, n_pieces long, ids array<int>, ids_sha256 string, round_trip boolean, score double, best_ids array<int>, "
     "alternatives array<struct<score: double, changes: array<struct<at: int, n: int, ids: array<int>>>>>"
@@ -556,7 +563,7 @@ def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
         raise ValueError("n must be positive")
     spark = docs.sparkSession
     prepare(spark)
-    model = spark.sparkContext.broadcast(load(path))
+    model = _sent(spark, Lattice(load(path), n))
     change = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
     types = (pa.int64(), pa.string(), pa.bool_(), pa.float64(), pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))])))
 
@@ -565,7 +572,7 @@ def encode(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(limits), pa.array(np.concatenate(rows).astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model.value, n)
+        lattice = pickle.loads(model.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -590,10 +597,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """encoded(doc_id, a column of ids) -> (doc_id, text)."""
     spark = encoded.sparkSession
     prepare(spark)
-    model = spark.sparkContext.broadcast(load(path))
+    model = _sent(spark, Lattice(load(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model.value)
+        lattice = pickle.loads(model.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([lattice.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
