@@ -1,21 +1,24 @@
 """Main text of raw HTML pages by a site style tree.
 
-The DOMs of one host are merged into a style tree: a node is the path of tags with their class and id, so equal
-layout on many pages falls on one node. For each node the pages that hold it are counted by what the node
-shows (hash of all text below it) and how (hash of its children's tags). The entropy of these two distributions, to
-the base of the number of pages, is the node's importance: 0 where all pages show the same, 1 where each shows its own.
-Branches under a node of low importance are template and are cut from each page, as are
-branches whose tag, role, class or id names them menu, header, footer, sidebar, notice, advert, form or reader comments,
-and link lists outside the article. What is left of the article element (or main, or else body) is the main text.
+The whole DOMs of one host are merged into a style tree: a style node is the path of tags with their class and id, so equal
+layout on many pages falls on one node, named or not. For each node the blocks that stand there on the host's pages are counted by what they
+show (hash of all text below) and how (hash of the children's tags). The entropy of these two distributions, to
+the base of the number of blocks, is the node's importance: 0 where all pages show the same, 1 where each shows its own. The content of a single block is a
+feature of its node too: one that stands on n of the node's m pages has the entropy log_m n over the pages, and the importance 1 - log_m n.
+Branches of low importance, of either kind, are template and are cut from each page, inside the article as well. What is left of the article
+element (or main, or else body) is the main text.
 
-A node must be seen on LEAST_PAGES different pages before its entropy counts; copies of a page count once. Inside an article
-only nodes with a class or id can be template: headlines and plain paragraphs may repeat between near copies and stay.
+In addition, branches go whose tag, role, class or id names them menu, header, footer, sidebar, notice, advert, form or reader comments, and link lists
+outside the article: menus and adverts may show other words on every page, which no entropy of their content gives away, and hosts with few pages have no
+tree. The columns n_template and n_named say how many branches of a page fall to the tree and, of the rest, to the names.
+
+A node must be seen on LEAST_PAGES different pages before its entropy counts; pages of one host with the same main text count once.
 
 Counting is an aggregate by (host, node, content) with partial sums, so a hot host meets in no single task. The table of
-template nodes is broadcast when it has at most BROADCAST_NODES rows, and joined by page beyond that.
+template nodes is broadcast when it has at most BROADCAST_NODES rows, and joined by page beyond that, with the same result.
 
 Defined results: null html = empty text; null url = no host, pages of that kind are judged alone; repeated ids are extracted one by one; broken
-markup is repaired as browsers do (implied ends, unclosed comments); an empty table gives none.
+markup is repaired as browsers do (implied ends, unclosed comments); columns other than the three are not read; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -64,18 +67,22 @@ DROPPED_NAMES = frozenset(
     promo promotion cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup share sharing social related recommended
     comment comments disqus replies widget widgets pagination pager login paywall skip""".split()
 )
+#: Elements that are the page itself.
+KEPT = frozenset("html body article main".split())
+#: Content of an element without text.
+EMPTY = xxhash.xxh64_intdigest(b"")
 OUTER_NAMES = frozenset("header footer masthead banner topbar".split())
 
 
 class Node:
-    __slots__ = ("tag", "names", "attrs", "children", "parent", "key", "named")
+    __slots__ = ("tag", "names", "attrs", "children", "parent", "key", "content")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: "Node | None"):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list = []
         words = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
         self.names = frozenset(NAME.findall(words))
-        self.named = bool(words.strip())
+        self.content = 0
         own = f"{tag}.{'.'.join(sorted(attrs.get('class', '').lower().split()))}#{re.sub('[0-9]+', '0', attrs.get('id', ''))}"
         self.key = xxhash.xxh64_intdigest(own.encode("utf-8", "replace"), (parent.key if parent else 0) & (2**64 - 1))
 
@@ -202,8 +209,56 @@ def link_list(node: Node) -> bool:
     return linked
 
 
+def in_order(root: Node) -> list[Node]:
+    """All elements below root, each before its children."""
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        out.append(n)
+        todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
+    return out[1:]
+
+
+def digest(root: Node) -> list[Node]:
+    """Sets the hash of the text below each element, from the leaves up; returns the elements."""
+    nodes = in_order(root)
+    for n in reversed(nodes):
+        h = xxhash.xxh64()
+        for c in n.children:
+            if isinstance(c, Node):
+                h.update(c.content.to_bytes(8, "little"))
+            elif text := WHITE.sub(" ", c).strip():
+                h.update(text.encode("utf-8", "replace"))
+        n.content = h.intdigest()
+    return nodes
+
+
+def feature(n: Node) -> int:
+    """Style node together with the content of the block."""
+    return xxhash.xxh64_intdigest(n.content.to_bytes(8, "little"), n.key)
+
+
+def is_template(n: Node, template: frozenset[int] | set[int]) -> bool:
+    return n.key in template or bool(template) and feature(n) in template
+
+
+def branches(root: Node, template: frozenset[int] | set[int]) -> tuple[int, int]:
+    """(branches of the page that are template, branches among the others that their names rule out)."""
+    cut = named = 0
+    todo = [c for c in root.children if isinstance(c, Node)]
+    while todo:
+        n = todo.pop()
+        if n.tag not in KEPT and is_template(n, template):
+            cut += 1
+        elif n.tag != "head" and unwanted(n, False):
+            named += 1
+        else:
+            todo.extend(c for c in n.children if isinstance(c, Node))
+    return cut, named
+
+
 def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
-    """Texts of the blocks of the main text, in page order, without branches of template nodes."""
+    """Texts of the blocks of the main text, in page order, without branches of template nodes (which needs digest())."""
     out: list[str] = []
     line: list[str] = []
 
@@ -225,7 +280,7 @@ def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> lis
             if isinstance(n, str):
                 line.append(n)
                 continue
-            if n is not main and (unwanted(n, marked) or n.key in template and (n.named or not marked) or not marked and n.tag in ("ul", "ol") and link_list(n)):
+            if n is not main and (unwanted(n, marked) or n.tag not in KEPT and is_template(n, template) or not marked and n.tag in ("ul", "ol") and link_list(n)):
                 if n.tag not in INLINE:
                     end()
                 continue
@@ -239,35 +294,30 @@ def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> lis
     return out
 
 
-def style_rows(root: Node) -> list[tuple[int, int, int]]:
-    """(node, content hash, presentation hash), one for each style node of the page that could be template."""
-    content: dict[int, xxhash.xxh64] = {}
-    look: dict[int, xxhash.xxh64] = {}
-    mains, marked = main_nodes(root)
-    for main in mains:
-        todo: list = [(main, ())]
-        while todo:
-            n, above = todo.pop()
-            if n is not main and unwanted(n, marked):
-                continue
-            if n is not main and (n.named or not marked) and n.tag not in ("html", "body"):
-                above = (*above, n.key)
-                look.setdefault(n.key, xxhash.xxh64()).update(",".join(c.tag for c in n.children if isinstance(c, Node)) + ";")
-                content.setdefault(n.key, xxhash.xxh64())
-            for c in n.children:
-                if isinstance(c, Node):
-                    todo.append((c, above))
-                elif above and (text := WHITE.sub(" ", c).strip()):
-                    for key in above:
-                        content[key].update(text + "\n")
-    return [(k, content[k].intdigest(), look[k].intdigest()) for k in content]
+def style_rows(nodes: list[Node]) -> list[tuple[int, int, int, int]]:
+    """(style node, content, look, 1 at the node's first row) of each different block of the page; nodes as digest() returns them."""
+    seen: set[tuple[int, int]] = set()
+    met: set[int] = set()
+    out = []
+    for n in nodes:
+        if n.tag in KEPT or n.tag in INLINE or n.tag in VOID or (n.key, n.content) in seen or n.content == EMPTY:
+            continue
+        look = xxhash.xxh64_intdigest(",".join(c.tag for c in n.children if isinstance(c, Node)))
+        out.append((n.key, n.content, look, int(n.key not in met)))
+        seen.add((n.key, n.content))
+        met.add(n.key)
+    return out
 
 
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+NODES = "key long, host string, page long, nodes array<struct<node: long, content: long, look: long, first: int, feature: long>>"
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("content", pa.int64()), ("look", pa.int64()), ("first", pa.int32()), ("feature", pa.int64())]))
     for batch in batches:
         for at in range(0, batch.num_rows, 100):
             part = batch.slice(at, 100)
@@ -277,30 +327,33 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not host or not source:
                     continue
                 root = parse(source)
-                rows = style_rows(root)
-                if rows:
-                    page = xxhash.xxh64_intdigest("\n".join(blocks(root)).encode("utf-8", "replace"))
-                    out += [(key, host, _signed(n), _signed(c), _signed(p), _signed(page)) for n, c, p in rows]
-            columns = list(zip(*out)) or [()] * 6
-            types = (pa.int64(), pa.string(), *[pa.int64()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "host", "node", "content", "look", "page"])
-
-
-def importance(nodes: DataFrame) -> DataFrame:
-    """nodes(host, node, content, look, page) -> (host, node, pages, importance)."""
-    single = nodes.groupBy("host", "node", "page").agg(F.min("content").alias("content"), F.min("look").alias("look"))
-    kinds = single.select("host", "node", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("look").alias("value")))).alias("x"))
-    counts = kinds.groupBy("host", "node", "x.kind", "x.value").agg(F.count("*").alias("n"))
-    sums = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+                rows = style_rows(digest(root))
+                page = xxhash.xxh64_intdigest("\n".join(blocks(root)).encode("utf-8", "replace"))
+                own = [{"node": _signed(n), "content": _signed(c), "look": _signed(x), "first": f, "feature": _signed(xxhash.xxh64_intdigest(c.to_bytes(8, "little"), n))} for n, c, x, f in rows]
+                out.append((key, host, _signed(page), own))
+            columns = list(zip(*out)) or [()] * 4
+            types = (pa.int64(), pa.string(), pa.int64(), kind)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "host", "page", "nodes"])
+
+
+def importance(rows: DataFrame) -> DataFrame:
+    """rows(host, node, content, look, first, feature), pages of one text once -> (host, node, pages, importance) of style nodes and of features."""
+    shown = rows.groupBy("host", "node", "feature").agg(F.count("*").alias("n"), F.sum("first").alias("f"))
+    looks = rows.groupBy("host", "node", "look").agg(F.count("*").alias("n"))
+    sums = lambda t, *more: t.groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), *more)
     # -sum (n/m) log_m (n/m) = (log m - s/m) / log m
     entropy = F.when(F.col("m") > 1, 1 - F.col("s") / F.col("m") / F.log("m")).otherwise(1.0)
-    both = sums.select("host", "node", "kind", "m", entropy.alias("h")).groupBy("host", "node").agg(
-        F.max("m").alias("pages"), F.max(F.when(F.col("kind") == 0, F.col("h"))).alias("hc"), F.max(F.when(F.col("kind") == 1, F.col("h"))).alias("hl")
-    )
-    return both.select("host", "node", "pages", ((1 - PRESENTATION_WEIGHT) * F.col("hc") + PRESENTATION_WEIGHT * F.col("hl")).alias("importance"))
+    content = sums(shown, F.sum("f").alias("pages"), F.max("n").alias("most")).select("host", "node", "pages", "most", entropy.alias("hc"))
+    look = sums(looks).select("host", "node", entropy.alias("hl"))
+    # all that can matter: nodes on few pages are template at no entropy
+    nodes = content.where(F.col("pages") >= LEAST_PAGES).join(look, ["host", "node"])
+    nodes = nodes.select("host", "node", "pages", "most", ((1 - PRESENTATION_WEIGHT) * F.col("hc") + PRESENTATION_WEIGHT * F.col("hl")).alias("importance"))
+    often = shown.where(F.col("n") >= LEAST_PAGES).select("host", "node", "feature", "n").join(nodes.select("host", "node", "pages"), ["host", "node"])
+    features = often.select("host", F.col("feature").alias("node"), F.col("n").alias("pages"), (1 - F.log("n") / F.log("pages")).alias("importance"))
+    return nodes.select("host", "node", "pages", "importance").unionByName(features)
 
 
-EXTRACTED = "key long, url string, text string, n_blocks long"
+EXTRACTED = "key long, url string, text string, n_blocks long, n_template long, n_named long"
 
 
 def _extract(template: dict[str, set[int]] | None):
@@ -309,24 +362,31 @@ def _extract(template: dict[str, set[int]] | None):
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
                 own = part.column("template").to_pylist() if template is None else None
-                texts, counts = [], []
+                texts, counts, cuts = [], [], []
                 for i, (url, source) in enumerate(zip(part.column("url").to_pylist(), part.column("html").to_pylist())):
                     cut = {x % 2**64 for x in own[i] or ()} if own is not None else template.get(host_of(url), set())
-                    found = blocks(parse(source), cut) if source else []
+                    root = parse(source or "")
+                    if cut:
+                        digest(root)
+                    found = blocks(root, cut)
+                    cuts.append(branches(root, cut))
                     texts.append("\n\n".join(found).encode("utf-8", "replace").decode("utf-8"))
                     counts.append(len(found))
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("url"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["key", "url", "text", "n_blocks"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), part.column("url"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*cuts))],
+                    names=["key", "url", "text", "n_blocks", "n_template", "n_named"],
+                )
 
     return run
 
 
 def extract(pages: DataFrame, most_broadcast: int = BROADCAST_NODES) -> DataFrame:
-    """pages(key, url, html) -> (key, url, text, n_blocks); keys may repeat."""
+    """pages(key, url, html) -> (key, url, text, n_blocks, n_template, n_named); keys may repeat."""
     spark = pages.sparkSession
     prepare(spark)
     pages = pages.select("key", "url", "html")
-    nodes = pages.mapInArrow(_nodes, "key long, host string, node long, content long, look long, page long")
-    low = importance(nodes).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW)).select("host", "node")
+    seen = pages.mapInArrow(_nodes, NODES).groupBy("host", "page").agg(F.min("nodes").alias("nodes"))
+    low = importance(seen.select("host", F.inline("nodes"))).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW)).select("host", "node").distinct()
     low = written(low, "template-nodes")
     if low.count() <= most_broadcast:
         template: dict[str, set[int]] = {}
@@ -334,11 +394,11 @@ def extract(pages: DataFrame, most_broadcast: int = BROADCAST_NODES) -> DataFram
             template.setdefault(row.host, set()).add(row.node % 2**64)
         return pages.mapInArrow(_extract(template), EXTRACTED)
     pages = with_row(pages, "key")
-    nodes = pages.select(F.col("__row").alias("key"), "url", "html").mapInArrow(_nodes, "key long, host string, node long, content long, look long, page long")
-    own = nodes.select("key", "host", "node").join(low, ["host", "node"]).groupBy("key").agg(F.collect_list("node").alias("template"))
+    nodes = pages.select(F.col("__row").alias("key"), "url", "html").mapInArrow(_nodes, NODES).select("key", "host", F.inline("nodes"))
+    own = nodes.select("key", "host", F.explode(F.array("node", "feature")).alias("node")).distinct().join(low, ["host", "node"]).groupBy("key").agg(F.collect_list("node").alias("template"))
     return pages.join(own.withColumnRenamed("key", "__row"), "__row", "left").select("key", "url", "html", "template").mapInArrow(_extract(None), EXTRACTED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("key"), "url", "html")
-    return extract(pages).select(F.col("key").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
+    return extract(pages).select(F.col("key").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_template", "n_named")
