@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import prepare, with_row, written
+from .shared import drop_written, prepare, with_row, written
 
 LEAST_PAGES = 5
 LOW = 0.2
@@ -80,11 +80,15 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: "Node | None"):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list = []
-        words = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-        self.names = frozenset(NAME.findall(words))
         self.content = 0
-        own = f"{tag}.{'.'.join(sorted(attrs.get('class', '').lower().split()))}#{re.sub('[0-9]+', '0', attrs.get('id', ''))}"
-        self.key = xxhash.xxh64_intdigest(own.encode("utf-8", "replace"), (parent.key if parent else 0) & (2**64 - 1))
+        if attrs:
+            words = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
+            self.names = frozenset(NAME.findall(words))
+            tag = f"{tag}.{'.'.join(sorted(attrs.get('class', '').lower().split()))}#{re.sub('[0-9]+', '0', attrs.get('id', ''))}"
+        else:
+            self.names = frozenset()
+            tag += ".#"
+        self.key = xxhash.xxh64_intdigest(tag.encode("utf-8", "replace"), parent.key if parent else 0)
 
 
 def parse(source: str) -> Node:
@@ -126,8 +130,9 @@ def parse(source: str) -> Node:
                 elif stack[depth].tag in ENDS_SCOPE[tag]:
                     break
         attrs = {}
-        for a in ATTRIBUTE.finditer(m["attrs"]):
-            attrs.setdefault(a[1].lower(), markup.unescape(a[2] or a[3] or a[4] or ""))
+        if given := m["attrs"]:
+            for a in ATTRIBUTE.finditer(given):
+                attrs.setdefault(a[1].lower(), markup.unescape(a[2] or a[3] or a[4] or ""))
         node = Node(tag, attrs, stack[-1])
         stack[-1].children.append(node)
         if tag in RAW:
@@ -222,27 +227,27 @@ def in_order(root: Node) -> list[Node]:
 def digest(root: Node) -> list[Node]:
     """Sets the hash of the text below each element, from the leaves up; returns the elements."""
     nodes = in_order(root)
-    for n in reversed(nodes):
-        h = xxhash.xxh64()
-        for c in n.children:
-            if isinstance(c, Node):
-                h.update(c.content.to_bytes(8, "little"))
-            elif text := WHITE.sub(" ", c).strip():
-                h.update(text.encode("utf-8", "replace"))
-        n.content = h.intdigest()
+    for n in (*reversed(nodes), root):
+        shows = [f"\0{c.content:x}" if isinstance(c, Node) else " ".join(c.split()) for c in n.children]
+        n.content = xxhash.xxh64_intdigest("".join(shows).encode("utf-8", "replace"))
     return nodes
 
 
-def feature(n: Node) -> int:
-    """Style node together with the content of the block."""
-    return xxhash.xxh64_intdigest(n.content.to_bytes(8, "little"), n.key)
+def feature(key: int, content: int) -> int:
+    """Style node together with the content of a block."""
+    return (key ^ content * 0x9E3779B97F4A7C15) & (2**64 - 1)
+
+
+#: Template nodes of a page's host: (style nodes, features).
+Template = tuple[set[int] | frozenset[int], set[int] | frozenset[int]]
+NONE: Template = (frozenset(), frozenset())
 
 
-def is_template(n: Node, template: frozenset[int] | set[int]) -> bool:
-    return n.key in template or bool(template) and feature(n) in template
+def is_template(n: Node, template: Template) -> bool:
+    return n.key in template[0] or bool(template[1]) and feature(n.key, n.content) in template[1]
 
 
-def branches(root: Node, template: frozenset[int] | set[int]) -> tuple[int, int]:
+def branches(root: Node, template: Template) -> tuple[int, int]:
     """(branches of the page that are template, branches among the others that their names rule out)."""
     cut = named = 0
     todo = [c for c in root.children if isinstance(c, Node)]
@@ -257,8 +262,8 @@ def branches(root: Node, template: frozenset[int] | set[int]) -> tuple[int, int]
     return cut, named
 
 
-def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
-    """Texts of the blocks of the main text, in page order, without branches of template nodes (which needs digest())."""
+def blocks(root: Node, template: Template = NONE) -> list[str]:
+    """Texts of the blocks of the main text, in page order, without branches of template nodes (features need digest())."""
     out: list[str] = []
     line: list[str] = []
 
@@ -317,27 +322,30 @@ NODES = "key long, host string, page long, nodes array<struct<node: long, conten
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("node", pa.int64()), ("content", pa.int64()), ("look", pa.int64()), ("first", pa.int32()), ("feature", pa.int64())]))
+    types = (*[pa.int64()] * 3, pa.int32(), pa.int64())
     for batch in batches:
         for at in range(0, batch.num_rows, 100):
             part = batch.slice(at, 100)
-            out = []
+            keys, hosts, pages, limits, rows = [], [], [], [0], []
             for key, url, source in zip(part.column("key").to_pylist(), part.column("url").to_pylist(), part.column("html").to_pylist()):
                 host = host_of(url)
                 if not host or not source:
                     continue
                 root = parse(source)
-                rows = style_rows(digest(root))
-                page = xxhash.xxh64_intdigest("\n".join(blocks(root)).encode("utf-8", "replace"))
-                own = [{"node": _signed(n), "content": _signed(c), "look": _signed(x), "first": f, "feature": _signed(xxhash.xxh64_intdigest(c.to_bytes(8, "little"), n))} for n, c, x, f in rows]
-                out.append((key, host, _signed(page), own))
-            columns = list(zip(*out)) or [()] * 4
-            types = (pa.int64(), pa.string(), pa.int64(), kind)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "host", "page", "nodes"])
+                rows += [(_signed(n), _signed(c), _signed(x), f, _signed(feature(n, c))) for n, c, x, f in style_rows(digest(root))]
+                keys.append(key)
+                hosts.append(host)
+                pages.append(_signed(xxhash.xxh64_intdigest(",".join(str(n.content) for n in main_nodes(root)[0]))))
+                limits.append(len(rows))
+            columns = list(zip(*rows)) or [()] * 5
+            nodes = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["node", "content", "look", "first", "feature"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.ListArray.from_arrays(pa.array(limits, pa.int32()), nodes)], names=["key", "host", "page", "nodes"]
+            )
 
 
 def importance(rows: DataFrame) -> DataFrame:
-    """rows(host, node, content, look, first, feature), pages of one text once -> (host, node, pages, importance) of style nodes and of features."""
+    """rows(host, node, content, look, first, feature), pages of one text once -> (host, node, is_feature, pages, importance) of style nodes and of features."""
     shown = rows.groupBy("host", "node", "feature").agg(F.count("*").alias("n"), F.sum("first").alias("f"))
     looks = rows.groupBy("host", "node", "look").agg(F.count("*").alias("n"))
     sums = lambda t, *more: t.groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), *more)
@@ -349,14 +357,14 @@ def importance(rows: DataFrame) -> DataFrame:
     nodes = content.where(F.col("pages") >= LEAST_PAGES).join(look, ["host", "node"])
     nodes = nodes.select("host", "node", "pages", "most", ((1 - PRESENTATION_WEIGHT) * F.col("hc") + PRESENTATION_WEIGHT * F.col("hl")).alias("importance"))
     often = shown.where(F.col("n") >= LEAST_PAGES).select("host", "node", "feature", "n").join(nodes.select("host", "node", "pages"), ["host", "node"])
-    features = often.select("host", F.col("feature").alias("node"), F.col("n").alias("pages"), (1 - F.log("n") / F.log("pages")).alias("importance"))
-    return nodes.select("host", "node", "pages", "importance").unionByName(features)
+    features = often.select("host", F.col("feature").alias("node"), F.lit(True).alias("is_feature"), F.col("n").alias("pages"), (1 - F.log("n") / F.log("pages")).alias("importance"))
+    return nodes.select("host", "node", F.lit(False).alias("is_feature"), "pages", "importance").unionByName(features)
 
 
 EXTRACTED = "key long, url string, text string, n_blocks long, n_template long, n_named long"
 
 
-def _extract(template: dict[str, set[int]] | None):
+def _extract(template: dict[str, Template] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
@@ -364,9 +372,9 @@ def _extract(template: dict[str, set[int]] | None):
                 own = part.column("template").to_pylist() if template is None else None
                 texts, counts, cuts = [], [], []
                 for i, (url, source) in enumerate(zip(part.column("url").to_pylist(), part.column("html").to_pylist())):
-                    cut = {x % 2**64 for x in own[i] or ()} if own is not None else template.get(host_of(url), set())
+                    cut = tuple({x["node"] % 2**64 for x in own[i] or () if x["is_feature"] == k} for k in (False, True)) if own is not None else template.get(host_of(url), NONE)
                     root = parse(source or "")
-                    if cut:
+                    if cut[1]:
                         digest(root)
                     found = blocks(root, cut)
                     cuts.append(branches(root, cut))
@@ -385,17 +393,20 @@ def extract(pages: DataFrame, most_broadcast: int = BROADCAST_NODES) -> DataFram
     spark = pages.sparkSession
     prepare(spark)
     pages = pages.select("key", "url", "html")
-    seen = pages.mapInArrow(_nodes, NODES).groupBy("host", "page").agg(F.min("nodes").alias("nodes"))
-    low = importance(seen.select("host", F.inline("nodes"))).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW)).select("host", "node").distinct()
+    seen = written(pages.mapInArrow(_nodes, NODES).groupBy("host", "page").agg(F.min("nodes").alias("nodes")), "page-nodes")
+    low = importance(seen.select("host", F.inline("nodes"))).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW)).select("host", "node", "is_feature")
     low = written(low, "template-nodes")
+    drop_written(seen)
     if low.count() <= most_broadcast:
-        template: dict[str, set[int]] = {}
+        template: dict[str, Template] = {}
         for row in low.collect():
-            template.setdefault(row.host, set()).add(row.node % 2**64)
+            template.setdefault(row.host, (set(), set()))[row.is_feature].add(row.node % 2**64)
         return pages.mapInArrow(_extract(template), EXTRACTED)
     pages = with_row(pages, "key")
     nodes = pages.select(F.col("__row").alias("key"), "url", "html").mapInArrow(_nodes, NODES).select("key", "host", F.inline("nodes"))
-    own = nodes.select("key", "host", F.explode(F.array("node", "feature")).alias("node")).distinct().join(low, ["host", "node"]).groupBy("key").agg(F.collect_list("node").alias("template"))
+    kinds = F.array(F.struct("node", F.lit(False).alias("is_feature")), F.struct(F.col("feature").alias("node"), F.lit(True).alias("is_feature")))
+    own = nodes.select("key", "host", F.explode(kinds).alias("x")).select("key", "host", "x.*").distinct().join(low, ["host", "node", "is_feature"])
+    own = own.groupBy("key").agg(F.collect_list(F.struct("node", "is_feature")).alias("template"))
     return pages.join(own.withColumnRenamed("key", "__row"), "__row", "left").select("key", "url", "html", "template").mapInArrow(_extract(None), EXTRACTED)
 
 

@@ -4,7 +4,7 @@ import random
 from quillstream.llm import main_text as mt
 
 
-def text(source, template=frozenset()):
+def text(source, template=mt.NONE):
     return "\n\n".join(mt.blocks(mt.parse(source), template))
 
 
