@@ -189,31 +189,38 @@ def sentence_issues(summaries: DataFrame, article_versions: DataFrame, claims: D
     met_claims = used.join(known, (F.col("snapshot_id") == F.col("__s")) & (F.col("claim") == F.col("__c")), "left")
     referred = used.withColumn("__n", F.row_number().over(Window.partitionBy("summary_id", "pos", "claim").orderBy("cpos", "kpos"))).where("__n > 1")
     moved = (F.col("k.article_id") != F.col("c.articleId")) | (F.col("k.article_version_id") != F.col("c.articleVersionId"))
+    issue = lambda when, code, where, **refs: F.when(when, F.struct(F.lit(code).alias("code"), where.alias("path"), *(refs.get(n, F.lit(None).cast("string")).alias(n) for n in ("article_id", "article_version_id", "claim_id"))))
+    said = lambda df, *found: df.select("summary_id", F.col("s.id").alias("sentence_id"), F.explode(F.array_compact(F.array(*found))).alias("i")).select("summary_id", "i.code", "i.path", "sentence_id", "i.article_id", "i.article_version_id", "i.claim_id")
+    claim = {"claim_id": F.col("claim")}
     parts = [
-        out(twice, "duplicate-citation", cpath, **refs), out(met.where("article_state is null"), "unknown-article-version", cpath, **refs),
-        out(met.where("article_state <> 'active'"), "disabled-article-version", cpath, **refs), out(referred, "duplicate-claim-reference", kpath, claim_id=F.col("claim")),
-        out(met_claims.where("k is null"), "unknown-claim", kpath, claim_id=F.col("claim")), out(met_claims.where("k.state <> 'active'"), "disabled-claim", kpath, claim_id=F.col("claim")),
-        out(met_claims.where(moved), "claim-provenance-mismatch", kpath, claim_id=F.col("claim"), **refs),
+        out(twice, "duplicate-citation", cpath, **refs), out(referred, "duplicate-claim-reference", kpath, **claim),
+        said(met, issue(F.col("article_state").isNull(), "unknown-article-version", cpath, **refs), issue(F.col("article_state") != "active", "disabled-article-version", cpath, **refs)),
+        said(
+            met_claims, issue(F.col("k").isNull(), "unknown-claim", kpath, **claim), issue(F.col("k.state") != "active", "disabled-claim", kpath, **claim),
+            issue(moved, "claim-provenance-mismatch", kpath, **claim, **refs),
+        ),
     ]
     gathered = met_claims.groupBy("summary_id", "pos").agg(F.collect_set("claim").alias("ids"), F.collect_list("k").alias("ks"))  # bounded by one sentence
     whole = cut(rows.join(gathered, ["summary_id", "pos"], "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>"))))
-    parts.append(out(whole.where(~same_strings(F.col("s.claimIds"), F.col("ids"))), "claim-set-mismatch", F.concat(path, F.lit(".claimIds"))))
-    backed = whole.where(F.size(F.coalesce("ks", F.array())) > 0)
+    is_backed = F.coalesce(F.size("ks") > 0, F.lit(False))
+    backed = whole.where(is_backed)
     a = lambda n: F.col(f"s.assertion.{n}")
     weaker = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in DOWNGRADES))
     upgrade = F.exists("ks", lambda k: ~F.array_contains(weaker, F.struct(k["epistemic_status"].alias("x"), a("epistemicStatus").alias("y"))))
+    found = [issue(~same_strings(F.col("s.claimIds"), F.col("ids")), "claim-set-mismatch", F.concat(path, F.lit(".claimIds")))]
     for field, column, mixed, other in (("propositionId", "proposition_id", "mixed-proposition", "proposition-mismatch"), ("polarity", "polarity", "mixed-polarity", "polarity-mismatch")):
         values = F.array_distinct(F.transform("ks", _member(column)))
         spot = F.concat(path, F.lit(".assertion" if field == "propositionId" else ".assertion.polarity"))
-        parts.append(out(backed.where(F.size(values) != 1), mixed, spot))
-        parts.append(out(backed.where((F.size(values) != 1) | ~F.array_contains(values, a(field))), other, F.concat(path, F.lit(f".assertion.{field}"))))
-    parts.append(out(backed.where(upgrade), "epistemic-upgrade", F.concat(path, F.lit(".assertion.epistemicStatus"))))
+        found.append(issue(is_backed & (F.size(values) != 1), mixed, spot))
+        found.append(issue(is_backed & ((F.size(values) != 1) | ~F.array_contains(values, a(field))), other, F.concat(path, F.lit(f".assertion.{field}"))))
+    found.append(issue(is_backed & upgrade, "epistemic-upgrade", F.concat(path, F.lit(".assertion.epistemicStatus"))))
+    parts.append(said(whole, *found))
     text = lambda names: lambda x: F.concat_ws("\u0000", *(F.coalesce(x[n], F.lit("\u0001")) for n in names))
     plans = (("entities", "unsupported-entity", lambda x: x), ("numbers", "unsupported-number", text(("key", "value", "unit", "currency", "scale"))), ("times", "unsupported-time", text(("key", "value", "role"))))
     for field, code, key in plans:
-        said = backed.select("summary_id", "pos", "s", "ks", F.posexplode(a(field)).alias("fpos", "f"))
+        members = backed.select("summary_id", "pos", "s", "ks", F.posexplode(a(field)).alias("fpos", "f"))
         missing = F.exists("ks", _lacks(field, key))
-        parts.append(out(said.where(missing), code, F.concat(path, F.lit(f".assertion.{field}["), F.col("fpos").cast("string"), F.lit("]"))))
+        parts.append(out(members.where(missing), code, F.concat(path, F.lit(f".assertion.{field}["), F.col("fpos").cast("string"), F.lit("]"))))
     again = rows.withColumn("__n", F.row_number().over(Window.partitionBy("summary_id", "s.id").orderBy("pos"))).where("__n > 1")
     parts.append(out(again, "duplicate-sentence-id", F.concat(path, F.lit(".id"))))
     return _union(parts)

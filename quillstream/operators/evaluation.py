@@ -55,6 +55,14 @@ def blocking(evaluated: DataFrame, strict: bool = False) -> DataFrame:
     return evaluated.where(wrong & gate).select("case_id").distinct()
 
 
+def gate_counts(evaluated: DataFrame, strict: bool = False) -> DataFrame:
+    """One row: passed, total and the exit code of a run, 1 if a gate fails."""
+    failed = blocking(evaluated, strict).withColumn("failed", F.lit(True))
+    joined = evaluated.select("case_id").join(failed, "case_id", "left")
+    counted = joined.agg(F.count_if(F.col("failed").isNull()).alias("passed"), F.count("*").alias("total"))
+    return counted.withColumn("exit_code", F.when(F.col("passed") < F.col("total"), 1).otherwise(0))
+
+
 def unknown_references(cases: DataFrame, articles: DataFrame) -> DataFrame:
     """(case_id, id) of listed articles that do not exist."""
     listed = cases.select("case_id", F.explode("article_ids").alias("id"))
@@ -64,7 +72,8 @@ def unknown_references(cases: DataFrame, articles: DataFrame) -> DataFrame:
 def evaluate(cases: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(evaluated cases, summary)."""
     judged = cases.where(F.col("kind").isin(*EXPECTED))
-    decided = relate(case_pairs(judged), articles).select("case_id", F.col("decision.relation").alias("relation"))
+    # a pair with an unknown article matches no expectation, so its case fails
+    decided = relate(case_pairs(judged), articles).select("case_id", F.coalesce("decision.relation", F.lit("unknown-article")).alias("relation"))
     evaluated = roll_up(cases, decided)
     return evaluated, summary(evaluated, cases)
 

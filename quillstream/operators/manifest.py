@@ -15,11 +15,21 @@ RELATIONS = ("same-event", "related-not-merge", "different-event", "preserve-unc
 METHODS = ("project-seed", "human-review")
 RELATION_OF_KIND = dict(zip(KINDS, RELATIONS))
 
-ARTICLE = "id string, category string, sourceId string, title string, canonicalUrl string, observedDate string, verification string, contentType string, entities array<string>, uncertainty string"
-CASE = (
-    "id string, kind string, articleIds array<string>, expectedRelation string, expectedClusterId string, evaluationFocus string, knownUncertainty string, "
-    "labelProvenance struct<status: string, method: string, reviewedBy: array<string>, reviewedAt: string, notes: string>"
-)
+ARTICLE = ("id", "category", "sourceId", "title", "canonicalUrl", "observedDate", "verification", "contentType", "uncertainty")
+CASE = ("id", "kind", "expectedRelation", "expectedClusterId", "evaluationFocus", "knownUncertainty")
+PROVENANCE = ("status", "method", "reviewedAt", "notes")
+
+
+def _text(v: Column, name: str) -> Column:
+    """A field that is a JSON string; null for any other kind of value."""
+    field = F.try_variant_get(v, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(field, "$", "string"))
+
+
+def _texts(v: Column, name: str) -> Column:
+    """A field that is a list, with null for members that are no strings; null for any other kind of value."""
+    members = F.try_variant_get(v, f"$.{name}", "array<variant>")
+    return F.transform(members, lambda m: F.when(F.schema_of_variant(m) == "STRING", F.try_variant_get(m, "$", "string")))
 
 
 def blank(c: Column) -> Column:
@@ -46,11 +56,11 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def parse(manifests: DataFrame) -> DataFrame:
     """manifests(body) -> schema_version, dataset_version, generated_at, legal_boundary, articles, cases (arrays of JSON), kept even where wrong."""
-    j = lambda p: F.get_json_object("body", p)
-    listed = lambda p: F.when(j(p).startswith("["), F.from_json(j(p), "array<string>"))
+    v = F.try_parse_json("body")
+    listed = lambda n: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")).startswith("ARRAY"), F.transform(F.try_variant_get(v, f"$.{n}", "array<variant>"), lambda m: F.to_json(m)))
     return manifests.select(
-        j("$.schemaVersion").alias("schema_version"), j("$.datasetVersion").alias("dataset_version"), j("$.generatedAt").alias("generated_at"),
-        j("$.legalBoundary").alias("legal_boundary"), listed("$.articles").alias("articles"), listed("$.cases").alias("cases"),
+        _text(v, "schemaVersion").alias("schema_version"), _text(v, "datasetVersion").alias("dataset_version"), _text(v, "generatedAt").alias("generated_at"),
+        _text(v, "legalBoundary").alias("legal_boundary"), listed("articles").alias("articles"), listed("cases").alias("cases"),
     )
 
 
@@ -64,13 +74,17 @@ def root_issues(manifest: DataFrame) -> DataFrame:
 
 
 def articles_of(manifest: DataFrame) -> DataFrame:
-    rows = manifest.select(F.posexplode("articles").alias("index", "json"))
-    return rows.select("index", F.from_json("json", ARTICLE).alias("a")).select("index", "a.*")
+    """(index, the fields of an article); values of a wrong JSON type are null."""
+    rows = manifest.select(F.posexplode("articles").alias("index", "json")).select("index", F.try_parse_json("json").alias("v"))
+    return rows.select("index", *(_text(F.col("v"), n).alias(n) for n in ARTICLE), _texts(F.col("v"), "entities").alias("entities"))
 
 
 def cases_of(manifest: DataFrame) -> DataFrame:
-    rows = manifest.select(F.posexplode("cases").alias("index", "json"))
-    return rows.select("index", F.from_json("json", CASE).alias("c")).select("index", "c.*")
+    """(index, the fields of a case); values of a wrong JSON type are null."""
+    rows = manifest.select(F.posexplode("cases").alias("index", "json")).select("index", F.try_parse_json("json").alias("v"))
+    p = F.try_variant_get("v", "$.labelProvenance", "variant")
+    provenance = F.when(F.schema_of_variant(p).startswith("OBJECT"), F.struct(*(_text(p, n).alias(n) for n in PROVENANCE), _texts(p, "reviewedBy").alias("reviewedBy")))
+    return rows.select("index", *(_text(F.col("v"), n).alias(n) for n in CASE), _texts(F.col("v"), "articleIds").alias("articleIds"), provenance.alias("labelProvenance"))
 
 
 def _exploded(rows: DataFrame, path: str, said: list[Column]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.lineage import cut
 
 # Generic and broad entity names, title stop words, name aliases, content families in order of precedence.
 GENERIC = ("ai", "bao chi", "cong nghe", "dien anh", "giai tri", "nguoi ham mo", "phong ve", "the thao")
@@ -103,30 +104,36 @@ def case_pairs(cases: DataFrame) -> DataFrame:
 
 
 def relate(pairs: DataFrame, articles: DataFrame) -> DataFrame:
-    """pairs(left_id, right_id, ...) with the decision of each."""
+    """pairs(left_id, right_id, ...) with the decision of each; a pair with an unknown article has no decision but an error."""
     f = features(articles)
     packed = f.select("id", F.struct(*(c for c in f.columns if c != "id")).alias("f"))
-    found = pairs.join(packed.select(F.col("id").alias("left_id"), F.col("f").alias("l")), "left_id").join(packed.select(F.col("id").alias("right_id"), F.col("f").alias("r")), "right_id")
-    return decide(found).drop("l", "r")
+    found = pairs.join(packed.select(F.col("id").alias("left_id"), F.col("f").alias("l")), "left_id", "left").join(packed.select(F.col("id").alias("right_id"), F.col("f").alias("r")), "right_id", "left")
+    unknown = lambda side, name: F.when(F.col(side).isNull(), F.concat(F.lit("Unknown article: "), F.col(name).cast("string")))
+    said = decide(found).withColumn("error", F.coalesce(unknown("l", "left_id"), unknown("r", "right_id")))
+    return said.withColumn("decision", F.when(F.col("error").isNull(), F.col("decision"))).drop("l", "r")
 
 
 def candidate_pairs(articles: DataFrame) -> DataFrame:
     """(left_id, right_id) of all pairs that rules 2 to 5, 7 and 8 can concern; every other pair is `different-event`.
 
     Such a pair has one category and shares an entity key or has title Jaccard of at least 0.2. The first kind is an equi-join on
-    (category, key). For the second, tokens are ordered by frequency, rarest first, and two titles with that Jaccard share a token among the
-    first n - ceil(0.2 n) + 1 of either, so only those prefixes are joined; the bound is verified on each match."""
-    f = features(articles).select("id", "category", "keys", "tokens")
+    (category, key). For the second, tokens are numbered by frequency, rarest first, and two titles with that Jaccard share a token among the
+    first n - ceil(0.2 n) + 1 of either, so only those prefixes are joined, sizes first: the smaller title has a fifth of the larger one's tokens at
+    least. A pair is verified once, at the first token that both have. The pairs of one key are all part of the result: a hot
+    (category, key) is split by the adaptive skew join, not gathered."""
+    f = cut(features(articles).select("id", "category", "keys", "tokens"))
     by_key = f.select("id", "category", F.explode("keys").alias("k"))
     a, b = by_key.alias("a"), by_key.alias("b")
     same_key = a.join(b, (F.col("a.category") == F.col("b.category")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
     each = f.select("id", "category", F.explode("tokens").alias("token"))
-    count = each.groupBy("category", "token").agg(F.count("*").alias("n"))
-    ordered = each.join(count, ["category", "token"]).groupBy("id", "category").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("s"))
-    size = F.size("s")
-    prefix = ordered.select("id", "category", F.col("s.token").alias("tokens"), F.explode(F.slice("s", F.lit(1), (size - F.ceil(OVERLAP * size) + 1).cast("int"))).alias("p"))
-    prefix = prefix.select("id", "category", "tokens", F.col("p.token").alias("token"))
+    numbered = cut(each.groupBy("category", "token").count().orderBy("count", "category", "token").select("category", "token", F.monotonically_increasing_id().alias("n")))
+    ordered = each.join(numbered, ["category", "token"]).groupBy("id", "category").agg(F.sort_array(F.collect_list("n")).alias("s")).withColumn("size", F.size("s"))
+    size = F.col("size")
+    prefix = cut(ordered.select("id", "category", "s", "size", F.explode(F.slice("s", F.lit(1), (size - F.ceil(OVERLAP * size) + 1).cast("int"))).alias("n")))
     a, b = prefix.alias("a"), prefix.alias("b")
-    near = a.join(b, (F.col("a.category") == F.col("b.category")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")))
-    near = near.where(jaccard(F.col("a.tokens"), F.col("b.tokens")) >= OVERLAP).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
+    fits = F.least("a.size", "b.size") >= OVERLAP * F.greatest("a.size", "b.size")
+    near = a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.category") == F.col("b.category")) & (F.col("a.id") < F.col("b.id")) & fits)
+    near = near.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.col("a.n").alias("n"), (F.col("a.size") + F.col("b.size")).alias("both"), F.array_intersect("a.s", "b.s").alias("x"))
+    shared = F.size("x")
+    near = near.where((F.get("x", F.lit(0)) == F.col("n")) & (shared / (F.col("both") - shared) >= OVERLAP)).select("left_id", "right_id")
     return same_key.unionByName(near).distinct()

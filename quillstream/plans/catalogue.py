@@ -332,19 +332,34 @@ def event_relation(spark, sf_dir):
     return decided.select("left_id", "right_id", F.size("decision.signals.shared_entities").alias("n_shared"), F.round("decision.signals.title_token_overlap", 6).alias("overlap"), said.alias("decision"))
 
 
-@query(f"""WITH {_TOKENS}, a AS (SELECT doc_id, lang, trim(regexp_replace(regexp_replace({_KEY}, '\\b(?:19|20)\\d{{2}}\\b', '', 'g'), ' +', ' ', 'g')) AS k FROM documents),
+@query(f"""WITH {_TOKENS}, a AS (SELECT doc_id, lang, trim(regexp_replace(regexp_replace({_KEY}, '\\b(?:19|20)\\d{{2}}\\b', '', 'g'), ' +', ' ', 'g')) AS k1, {s.fold('source')} AS k2 FROM documents),
+ks AS (SELECT doc_id, lang, k1 AS k FROM a WHERE k1 <> '' AND k1 NOT IN ({_GENERIC}) UNION SELECT doc_id, lang, k2 FROM a WHERE k2 <> '' AND k2 NOT IN ({_GENERIC})),
 c AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id),
 near AS (SELECT u.doc_id AS l, v.doc_id AS r, count(*) AS k FROM tok u JOIN tok v ON u.w = v.w AND u.doc_id < v.doc_id JOIN a x ON x.doc_id = u.doc_id JOIN a y ON y.doc_id = v.doc_id AND x.lang = y.lang GROUP BY 1, 2)
 SELECT l AS left_id, r AS right_id FROM near JOIN c x ON x.doc_id = l JOIN c y ON y.doc_id = r WHERE k / (x.n + y.n - k) >= 0.2
-UNION SELECT x.doc_id, y.doc_id FROM a x JOIN a y ON x.lang = y.lang AND x.k = y.k AND x.doc_id < y.doc_id WHERE x.k <> '' AND x.k NOT IN ({_GENERIC})""")
+UNION SELECT x.doc_id, y.doc_id FROM ks x JOIN ks y ON x.lang = y.lang AND x.k = y.k AND x.doc_id < y.doc_id""")
 def relation_candidates(spark, sf_dir):
     """All pairs of a language that the decision rules can link, without comparing all pairs."""
-    articles = _relation_articles(spark, sf_dir).withColumn("entities", F.slice("entities", 1, 1))
-    return relations.candidate_pairs(articles)
+    return relations.candidate_pairs(_relation_articles(spark, sf_dir))
+
+
+_LISTED = "pc AS (SELECT doc_id AS c, doc_id + a AS l, doc_id + b AS r FROM labels, (VALUES (0, 1), (0, 3), (1, 3)) v(a, b)), p AS (SELECT DISTINCT l, r FROM pc)"
+_EVERY = "p AS (SELECT * FROM (SELECT lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS l, doc_id AS r FROM documents) WHERE l IS NOT NULL)"
+_DECIDED = SQL["event_relation"].replace(_EVERY, _LISTED).replace("SELECT l AS left_id", ", dec AS (SELECT l AS left_id")
+
+
+@query(f"""{_DECIDED}) SELECT c AS case_id, pc.l AS left_id, pc.r AS right_id, dec.decision, CASE WHEN pc.l NOT IN (SELECT doc_id FROM documents) THEN 'Unknown article: ' || pc.l WHEN pc.r NOT IN (SELECT doc_id FROM documents) THEN 'Unknown article: ' || pc.r END AS error
+FROM pc LEFT JOIN dec ON dec.left_id = pc.l AND dec.right_id = pc.r""")
+def case_pair_decisions(spark, sf_dir):
+    """Labelled documents as cases of three articles each: the document, the next and the third after it, where they exist."""
+    cases = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_id"), F.array("doc_id", F.col("doc_id") + 1, F.col("doc_id") + 3).alias("article_ids"))
+    decided = relations.relate(relations.case_pairs(cases), _relation_articles(spark, sf_dir))
+    said = F.concat_ws("/", "decision.relation", "decision.confidence", F.array_join("decision.reasons", ","))
+    return decided.select("case_id", "left_id", "right_id", F.when(F.col("error").isNull(), said).alias("decision"), "error")
 
 
 _CASES = "cases AS (SELECT doc_id AS case_id, ['same-event', 'related-subevent', 'hard-negative', 'uncertainty', 'numeric-fact', 'developing-story'][doc_id % 6 + 1] AS kind, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'accepted' ELSE 'provisional' END AS label_status FROM labels)"
-_ROLLED = f"""{_CASES}, dec AS (SELECT doc_id - doc_id % 3 AS case_id, ['same-event-candidate', 'related-not-merge', 'different-event', 'uncertain'][n_chars % 4 + 1] AS rel FROM documents WHERE doc_id % 7 > 0),
+_ROLLED = f"""{_CASES}, dec AS (SELECT doc_id - doc_id % 3 AS case_id, ['same-event-candidate', 'related-not-merge', 'different-event', 'uncertain'][n_chars % 4 + 1] AS rel FROM documents),
 k AS (SELECT *, CASE kind WHEN 'same-event' THEN 'same-event-candidate' WHEN 'related-subevent' THEN 'related-not-merge' WHEN 'hard-negative' THEN 'different-event' END AS expected_relation FROM cases),
 rolled AS (SELECT k.case_id, any_value(kind) AS kind, any_value(label_status) AS label_status, any_value(expected_relation) AS expected_relation, CASE WHEN count(DISTINCT rel) = 1 THEN min(rel) ELSE 'mixed' END AS predicted_relation, coalesce(bool_and(rel = expected_relation), true) AS matches_expected
 FROM k LEFT JOIN dec USING (case_id) WHERE expected_relation IS NOT NULL GROUP BY k.case_id)"""
@@ -358,7 +373,7 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*(F.lit(k) for k in ("same-event-candidate", "related-not-merge", "different-event", "uncertain")))
-    decided = table(spark, sf_dir, "documents").where("doc_id % 7 > 0").select(F.expr("doc_id - doc_id % 3").alias("case_id"), F.element_at(names, (F.col("n_chars") % 4 + 1).cast("int")).alias("relation"))
+    decided = table(spark, sf_dir, "documents").select(F.expr("doc_id - doc_id % 3").alias("case_id"), F.element_at(names, (F.col("n_chars") % 4 + 1).cast("int")).alias("relation"))
     return evaluation.roll_up(_cases(spark, sf_dir), decided)
 
 
@@ -380,6 +395,12 @@ def blocking_cases(spark, sf_dir):
     return evaluation.blocking(_rolled(spark, sf_dir), strict=True)
 
 
+@query(f"""WITH {_ROLLED}, g AS (SELECT count(*) AS total, CAST(count_if(matches_expected OR NOT (label_status IN ('accepted', 'provisional') OR kind = 'hard-negative')) AS BIGINT) AS passed FROM rolled)
+SELECT passed, total, CAST(passed < total AS INT) AS exit_code FROM g""")
+def gate_counts(spark, sf_dir):
+    return evaluation.gate_counts(_rolled(spark, sf_dir), strict=True)
+
+
 _INVENTORY = f"""{_CASES}, art AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'technology' WHEN 'fr' THEN 'sports' END AS category, source FROM documents),
 inv AS (SELECT 'category' AS dimension, v AS value, (SELECT count(*) FROM art WHERE category = v) AS n FROM (SELECT unnest(['technology', 'entertainment', 'sports']) AS v)
 UNION ALL SELECT 'case_kind', v, (SELECT count(*) FROM cases WHERE kind = v) FROM (SELECT unnest(['same-event', 'related-subevent', 'hard-negative', 'uncertainty', 'numeric-fact', 'developing-story']) AS v)
@@ -438,19 +459,18 @@ def unknown_references(spark, sf_dir):
     return evaluation.unknown_references(cases, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
 
 
-@query("""SELECT event_id, 'unknown-field' AS code, '$.' || key AS path FROM (SELECT event_id, unnest(json_keys(props)) AS key FROM events) WHERE key <> 'id' UNION ALL
-SELECT event_id, 'missing-field', '$.id' FROM events WHERE NOT list_contains(json_keys(props), 'id')""")
+@query("""WITH k AS (SELECT CAST(event_id AS VARCHAR) AS summary_id, json_keys(props) AS keys FROM events), f AS (SELECT unnest(['articleId', 'articleVersionId', 'claimIds']) AS name)
+SELECT summary_id, 'unknown-field' AS code, '$.' || key AS path FROM (SELECT summary_id, unnest(keys) AS key FROM k) WHERE key NOT IN (SELECT name FROM f)
+UNION ALL SELECT summary_id, code, '$.' || name FROM k, f, (SELECT unnest(['missing-field', 'invalid-type']) AS code) WHERE NOT list_contains(keys, name)""")
 def json_closed_keys(spark, sf_dir):
-    """Event properties held against a record that may only have `id`."""
-    keys = F.coalesce(F.json_object_keys("props"), F.array().cast("array<string>"))
-    rows = table(spark, sf_dir, "events").select("event_id", F.array_except(keys, F.array(F.lit("id"))).alias("extra"), F.array_except(F.array(F.lit("id")), keys).alias("lost"))
-    issue = lambda column, code: rows.select("event_id", F.lit(code).alias("code"), F.explode(column).alias("k")).select("event_id", "code", F.concat(F.lit("$."), "k").alias("path"))
-    return issue("extra", "unknown-field").unionByName(issue("lost", "missing-field"))
+    """Event properties held against the closed shape of a citation."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("summary_id"), F.lit("$").alias("path"), F.try_parse_json("props").alias("v"))
+    return citations.record_issues(rows, "citation")
 
 
 @query("""WITH c AS (SELECT l_orderkey AS o, l_linenumber AS n, 'a' || l_suppkey AS a, 'c' || l_partkey AS k FROM lineitem),
-p AS (SELECT 'c' || p_partkey AS k, 'a' || (p_partkey % 100 + 1) AS a, CASE WHEN p_size % 10 = 0 THEN 'disabled' ELSE 'active' END AS st, 'p' || (p_partkey % 3) AS prop FROM part WHERE p_partkey % 4 > 0),
-v AS (SELECT 'a' || s_suppkey AS a, CASE WHEN s_nationkey = 3 THEN 'disabled' ELSE 'active' END AS st FROM supplier WHERE s_suppkey % 9 > 0),
+p AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'x' ELSE 'c' END || p_partkey AS k, 'a' || (p_partkey % 100 + 1) AS a, CASE WHEN p_size % 10 = 0 THEN 'disabled' ELSE 'active' END AS st, 'p' || (p_partkey % 3) AS prop FROM part),
+v AS (SELECT CASE WHEN s_suppkey % 9 = 0 THEN 'b' ELSE 'a' END || s_suppkey AS a, CASE WHEN s_nationkey = 3 THEN 'disabled' ELSE 'active' END AS st FROM supplier),
 j AS (SELECT c.*, p.k IS NULL AS lost, p.st, p.a AS pa, p.prop FROM c LEFT JOIN p ON p.k = c.k),
 g AS (SELECT o, count(DISTINCT prop) AS props, bool_or(prop = 'p1') AS has FROM j WHERE NOT lost GROUP BY o)
 SELECT code, count(*) AS n FROM (SELECT 'unknown-article-version' AS code FROM c LEFT JOIN v ON v.a = c.a WHERE v.a IS NULL UNION ALL SELECT 'disabled-article-version' FROM c JOIN v ON v.a = c.a WHERE v.st <> 'active'
@@ -458,16 +478,16 @@ UNION ALL SELECT 'unknown-claim' FROM j WHERE lost UNION ALL SELECT 'disabled-cl
 UNION ALL SELECT 'duplicate-claim-reference' FROM (SELECT row_number() OVER (PARTITION BY o, k ORDER BY n) AS r FROM c) WHERE r > 1 UNION ALL SELECT 'duplicate-citation' FROM (SELECT row_number() OVER (PARTITION BY o, a, k ORDER BY n) AS r FROM c) WHERE r > 1
 UNION ALL SELECT 'claim-set-mismatch' FROM (SELECT o, count(*) AS x, count(DISTINCT k) AS y FROM c GROUP BY o) WHERE x <> y UNION ALL SELECT 'mixed-proposition' FROM g WHERE props <> 1 UNION ALL SELECT 'proposition-mismatch' FROM g WHERE props <> 1 OR NOT has) GROUP BY code""")
 def citation_issues(spark, sf_dir):
-    """Orders as sentences, lines as their citations, parts as claims, suppliers as article versions."""
+    """Orders as sentences, lines as their citations, parts as claims, suppliers as article versions; every fourth claim and ninth version has another key."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("a"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("k"))
     cited = F.sort_array(F.collect_list(F.struct("l_linenumber", F.struct(F.col("a").alias("articleId"), F.lit("v").alias("articleVersionId"), F.array("k").alias("claimIds")).alias("c"))))
     rows = lines.groupBy("l_orderkey").agg(cited.alias("x"))
     assertion = F.struct(F.lit("p1").alias("propositionId"), F.lit("uncertain").alias("epistemicStatus"), F.lit("affirmed").alias("polarity"), *(F.array().cast("array<string>").alias(n) for n in ("entities", "numbers", "times")))
     sentence = F.struct(F.lit("s").alias("id"), F.lit("bullet").alias("kind"), F.lit("t").alias("text"), F.flatten(F.col("x.c.claimIds")).alias("claimIds"), F.col("x.c").alias("citations"), assertion.alias("assertion"))
     summaries = rows.select(F.col("l_orderkey").cast("string").alias("summary_id"), F.lit("snap").alias("snapshot_id"), F.to_json(F.struct(F.array(sentence).alias("sentences"))).alias("body"))
-    versions_ = table(spark, sf_dir, "supplier").where("s_suppkey % 9 > 0").select(F.lit("snap").alias("snapshot_id"), F.concat(F.lit("a"), F.col("s_suppkey").cast("string")).alias("article_id"), F.lit("v").alias("article_version_id"), F.expr("if(s_nationkey = 3, 'disabled', 'active')").alias("state"))
-    claims = table(spark, sf_dir, "part").where("p_partkey % 4 > 0").select(
-        F.lit("snap").alias("snapshot_id"), F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("claim_id"), F.expr("concat('a', p_partkey % 100 + 1)").alias("article_id"), F.lit("v").alias("article_version_id"), F.expr("if(p_size % 10 = 0, 'disabled', 'active')").alias("state"),
+    versions_ = table(spark, sf_dir, "supplier").select(F.lit("snap").alias("snapshot_id"), F.expr("concat(if(s_suppkey % 9 = 0, 'b', 'a'), s_suppkey)").alias("article_id"), F.lit("v").alias("article_version_id"), F.expr("if(s_nationkey = 3, 'disabled', 'active')").alias("state"))
+    claims = table(spark, sf_dir, "part").select(
+        F.lit("snap").alias("snapshot_id"), F.expr("concat(if(p_partkey % 4 = 0, 'x', 'c'), p_partkey)").alias("claim_id"), F.expr("concat('a', p_partkey % 100 + 1)").alias("article_id"), F.lit("v").alias("article_version_id"), F.expr("if(p_size % 10 = 0, 'disabled', 'active')").alias("state"),
         F.expr("concat('p', p_partkey % 3)").alias("proposition_id"), F.lit("reported").alias("epistemic_status"), F.lit("affirmed").alias("polarity"), F.array().cast("array<string>").alias("entities"),
         F.array().cast("array<struct<key:string,value:string,unit:string,currency:string,scale:string>>").alias("numbers"), F.array().cast("array<struct<key:string,value:string,role:string>>").alias("times"),
     )
@@ -510,75 +530,12 @@ def browser_envelope(spark, sf_dir):
     return docs.select("doc_id", routing.envelope(body).alias("e")).select("doc_id", "e.error", "e.content_hash")
 
 
-# --- inline fixtures: the test tables hold no JSON-LD, publisher containers or summaries ---------------------------------
-
-
-def _fixture_pages(spark: SparkSession) -> DataFrame:
-    line = "Một đoạn văn đủ dài để vượt qua ngưỡng của bộ lọc đoạn văn, và còn dài hơn nữa cho chắc. "
-    ld = '{"@context": "x", "@graph": [{"@type": "WebPage"}, {"@type": ["NewsArticle"], "headline": "Tiêu đề &amp;amp; phụ", "articleBody": "' + line * 4 + '", "author": [{"name": "An"}, "Bình"], "datePublished": "2026-01-02"}]}'
-    rows = [
-        (1, "VnExpress", "https://vnexpress.net/a", f'<html><head><title>T</title><script type="application/ld+json">{ld}</script></head></html>'),
-        (2, "Tuổi Trẻ", "https://tuoitre.vn/b", "<title>B</title><div class='detail-content afcbc-body'><div><p>" + line + "</p></div><p>" + line * 3 + "</p><div class='box-related'><p>" + line + "</p></div></div><footer><p>" + line + "</p></footer>"),
-        (3, "Thanh Niên", "https://thanhnien.vn/c", '<meta content="Từ meta" property="og:title"><meta name="author" content="THANH NIÊN"><link rel="canonical" href="/c-chuan"><article>' + f"<p>{line}</p>" * 32 + "</article>"),
-        (4, "Thanh Niên", "http://thanhnien.vn/d", "<title>short</title><p>x</p>"),
-    ]
-    return spark.createDataFrame(rows, "page_id long, publisher string, url string, html string")
-
-
-@query()
-def normalized_articles(spark, sf_dir):
-    found = html.extract_articles(_fixture_pages(spark))
-    hosts = F.element_at(F.create_map(*(x for k, v in html.PUBLISHER_HOSTS.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("publisher"))
-    return found.select("page_id", "title", "author", "author_status", "extraction_strategy", "paragraph_count", "text_length", "content_hash", "quality_decision", F.array_join("quality_warnings", ",").alias("warnings"), "error", html.canonical_url(F.col("url"), F.col("canonical_candidate"), hosts).alias("canonical_url"))
-
-
-@query()
-def jsonld_articles(spark, sf_dir):
-    return _fixture_pages(spark).select("page_id", html.json_ld_article(F.col("html")).alias("a"), diagnostics.json_ld_keys(F.col("html")).alias("keys")).select("page_id", "a.*", F.array_join("keys", ",").alias("keys"))
-
-
-@query()
-def publisher_container(spark, sf_dir):
-    return _fixture_pages(spark).select("page_id", html.publisher_content(F.col("publisher"), F.col("html")).alias("c")).select("page_id", "c.text", "c.paragraph_count")
-
-
-def summary_fixture(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    import json
-
-    citation = {"articleId": "a1", "articleVersionId": "v1", "claimIds": ["c1"]}
-    assertion = {"propositionId": "p1", "epistemicStatus": "reported", "polarity": "affirmed", "entities": ["E"], "numbers": [{"key": "n", "value": "90", "unit": "x", "scale": "unit"}], "times": []}
-    base = {"schemaVersion": citations.SUMMARY_SCHEMA, "snapshotId": "s", "snapshotVersion": 1, "sentences": [{"id": "1", "kind": "one-line", "text": "t", "claimIds": ["c1"], "citations": [citation], "assertion": assertion}]}
-
-    def changed(edit):
-        copy = json.loads(json.dumps(base))
-        edit(copy)
-        return json.dumps(copy)
-
-    first = lambda c: c["sentences"][0]
-    rows = [
-        ("valid", json.dumps(base)), ("no-json", "{"), ("extra", changed(lambda c: c.update(more=1))), ("lost", changed(lambda c: c.pop("snapshotId"))), ("enum", changed(lambda c: first(c).update(kind="x"))),
-        ("upgrade", changed(lambda c: first(c)["assertion"].update(epistemicStatus="confirmed"))), ("number", changed(lambda c: first(c)["assertion"]["numbers"][0].update(value="90.0"))), ("format", changed(lambda c: first(c)["assertion"]["numbers"][0].update(value="09"))),
-        ("version", changed(lambda c: c.update(snapshotVersion=2))), ("claim", changed(lambda c: first(c)["citations"][0].update(claimIds=["c9"]))), ("twice", changed(lambda c: c["sentences"].append(first(c)))), ("empty", changed(lambda c: c.update(sentences=[]))),
-    ]
-    summaries = spark.createDataFrame([(k, "s", b) for k, b in rows], "summary_id string, snapshot_id string, body string")
-    snapshots = spark.createDataFrame([("s", citations.SNAPSHOT_SCHEMA, 1)], "snapshot_id string, schema_version string, snapshot_version int")
-    versions_ = spark.createDataFrame([("s", 0, "a1", "v1", "active")], "snapshot_id string, pos int, article_id string, article_version_id string, state string")
-    claims = spark.createDataFrame(
-        [("s", 0, "c1", "a1", "v1", "active", "p1", "reported", "affirmed", ["E"], [("n", "90", "x", None, "unit")], [])],
-        "snapshot_id string, pos int, claim_id string, article_id string, article_version_id string, state string, proposition_id string, epistemic_status string, polarity string, entities array<string>, "
-        "numbers array<struct<key:string,value:string,unit:string,currency:string,scale:string>>, times array<struct<key:string,value:string,role:string>>",
-    )
-    return summaries, snapshots, versions_, claims
-
-
-@query()
-def summary_validate(spark, sf_dir):
-    return citations.validate(*summary_fixture(spark))
-
-
 def queries() -> dict[str, Callable]:
+    from . import composed  # noqa: F401 - registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

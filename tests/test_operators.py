@@ -1,11 +1,12 @@
 """Behaviour that the test tables do not reach."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as t
 from quillstream.operators import citations, evaluation, feeds, html, manifest, relations, routing, versions
-from quillstream.plans import catalogue
 from quillstream.sources import http, registry, tables
 
 
@@ -34,8 +35,26 @@ def test_feeds(spark):
     assert [r.link for r in feeds.feed_items(rows.where("source_id = 'a'")).collect()] == ["yes"]
 
 
+def fixture_pages(spark):
+    line = "Một đoạn văn đủ dài để vượt qua ngưỡng của bộ lọc đoạn văn, và còn dài hơn nữa cho chắc. "
+    ld = '{"@context": "x", "@graph": [{"@type": "WebPage"}, {"@type": ["NewsArticle"], "headline": "Tiêu đề &amp;amp; phụ", "articleBody": "' + line * 4 + '", "author": [{"name": "An"}, "Bình"], "datePublished": "2026-01-02"}]}'
+    rows = [
+        (1, "VnExpress", "https://vnexpress.net/a", f'<html><head><title>T</title><script type="application/ld+json">{ld}</script></head></html>'),
+        (2, "Tuổi Trẻ", "https://tuoitre.vn/b", "<title>B</title><div class='detail-content afcbc-body'><div><p>" + line + "</p></div><p>" + line * 3 + "</p><div class='box-related'><p>" + line + "</p></div></div><footer><p>" + line + "</p></footer>"),
+        (3, "Thanh Niên", "https://thanhnien.vn/c", '<meta content="Từ meta" property="og:title"><meta name="author" content="THANH NIÊN"><link rel="canonical" href="/c-chuan"><article>' + f"<p>{line}</p>" * 32 + "</article>"),
+        (4, "Thanh Niên", "http://thanhnien.vn/d", "<title>short</title><p>x</p>"),
+    ]
+    return spark.createDataFrame(rows, "page_id long, publisher string, url string, html string")
+
+
+def normalized_articles(spark):
+    found = html.extract_articles(fixture_pages(spark))
+    hosts = F.element_at(F.create_map(*(x for k, v in html.PUBLISHER_HOSTS.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("publisher"))
+    return found.select("page_id", "title", "author", "author_status", "extraction_strategy", "paragraph_count", "text_length", "content_hash", "quality_decision", F.array_join("quality_warnings", ",").alias("warnings"), "error", html.canonical_url(F.col("url"), F.col("canonical_candidate"), hosts).alias("canonical_url"))
+
+
 def test_articles(spark):
-    got = {r.page_id: r for r in catalogue.normalized_articles(spark, "").collect()}
+    got = {r.page_id: r for r in normalized_articles(spark).collect()}
     assert got[1].title == "Tiêu đề & phụ" and got[1].author == "An, Bình" and got[1].extraction_strategy == "json-ld"
     assert got[2].extraction_strategy == "publisher-container" and got[2].paragraph_count == 2 and got[2].quality_decision == "ready"
     assert got[3].title == "Từ meta" and got[3].author is None and got[3].warnings == "high-paragraph-count,publisher-reported-as-author" and got[3].quality_decision == "fallback-required"
@@ -113,9 +132,36 @@ def test_evaluation_keeps_labels_apart(spark):
     assert (row.evaluated_cases, row.skipped_cases, row.hard_negative_failures, row.accepted_mismatches) == (3, 1, 1, 1)
 
 
+def summary_fixture(spark):
+    citation = {"articleId": "a1", "articleVersionId": "v1", "claimIds": ["c1"]}
+    assertion = {"propositionId": "p1", "epistemicStatus": "reported", "polarity": "affirmed", "entities": ["E"], "numbers": [{"key": "n", "value": "90", "unit": "x", "scale": "unit"}], "times": []}
+    base = {"schemaVersion": citations.SUMMARY_SCHEMA, "snapshotId": "s", "snapshotVersion": 1, "sentences": [{"id": "1", "kind": "one-line", "text": "t", "claimIds": ["c1"], "citations": [citation], "assertion": assertion}]}
+
+    def changed(edit):
+        copy = json.loads(json.dumps(base))
+        edit(copy)
+        return json.dumps(copy)
+
+    first = lambda c: c["sentences"][0]
+    rows = [
+        ("valid", json.dumps(base)), ("no-json", "{"), ("extra", changed(lambda c: c.update(more=1))), ("lost", changed(lambda c: c.pop("snapshotId"))), ("enum", changed(lambda c: first(c).update(kind="x"))),
+        ("upgrade", changed(lambda c: first(c)["assertion"].update(epistemicStatus="confirmed"))), ("number", changed(lambda c: first(c)["assertion"]["numbers"][0].update(value="90.0"))), ("format", changed(lambda c: first(c)["assertion"]["numbers"][0].update(value="09"))),
+        ("version", changed(lambda c: c.update(snapshotVersion=2))), ("claim", changed(lambda c: first(c)["citations"][0].update(claimIds=["c9"]))), ("twice", changed(lambda c: c["sentences"].append(first(c)))), ("empty", changed(lambda c: c.update(sentences=[]))),
+    ]
+    summaries = spark.createDataFrame([(k, "s", b) for k, b in rows], "summary_id string, snapshot_id string, body string")
+    snapshots = spark.createDataFrame([("s", citations.SNAPSHOT_SCHEMA, 1)], "snapshot_id string, schema_version string, snapshot_version int")
+    versions_ = spark.createDataFrame([("s", 0, "a1", "v1", "active")], "snapshot_id string, pos int, article_id string, article_version_id string, state string")
+    claims = spark.createDataFrame(
+        [("s", 0, "c1", "a1", "v1", "active", "p1", "reported", "affirmed", ["E"], [("n", "90", "x", None, "unit")], [])],
+        "snapshot_id string, pos int, claim_id string, article_id string, article_version_id string, state string, proposition_id string, epistemic_status string, polarity string, entities array<string>, "
+        "numbers array<struct<key:string,value:string,unit:string,currency:string,scale:string>>, times array<struct<key:string,value:string,role:string>>",
+    )
+    return summaries, snapshots, versions_, claims
+
+
 def test_summaries(spark):
     found = {}
-    for r in citations.validate(*catalogue.summary_fixture(spark)).collect():
+    for r in citations.validate(*summary_fixture(spark)).collect():
         found.setdefault(r.summary_id, set()).add(r.code)
     assert "valid" not in found
     assert found["no-json"] == {"invalid-type"} and found["extra"] == {"unknown-field"} and found["enum"] == {"invalid-enum"} and found["upgrade"] == {"epistemic-upgrade"}
@@ -154,3 +200,23 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted((r.article_id, r.seq, r.version_number, r.outcome) for r in spark.table("versions_out").collect())
     batch = versions.with_versions(spark.createDataFrame(rows, schema))
     assert got == sorted((r.article_id, r.seq, r.version_number, r.outcome) for r in batch.collect())
+
+
+def test_unknown_articles_fail_their_case(spark):
+    articles = spark.createDataFrame([("a", "sports", "One two", "2024-01-01", "report", ["X"])], "id string, category string, title string, observed_date string, content_type string, entities array<string>")
+    pairs = relations.relate(spark.createDataFrame([("a", "zz"), ("a", "a")], "left_id string, right_id string"), articles).collect()
+    assert {(x.right_id, x.error, x.decision is None) for x in pairs} == {("zz", "Unknown article: zz", True), ("a", None, False)}
+    cases = spark.createDataFrame([(1, "same-event", "accepted", ["a", "zz"])], "case_id long, kind string, label_status string, article_ids array<string>")
+    rolled, _ = evaluation.evaluate(cases, articles)
+    assert [(x.predicted_relation, x.matches_expected) for x in rolled.collect()] == [("unknown-article", False)]
+    gates = evaluation.gate_counts(rolled).first()
+    assert (gates.passed, gates.total, gates.exit_code) == (0, 1, 1)
+
+
+def test_numbers_are_no_strings_in_a_manifest(spark):
+    article = {"id": 5, "category": "sports", "sourceId": "s", "title": 9, "canonicalUrl": "https://e.example/", "observedDate": "2024-02-28", "verification": "page-fetched", "contentType": "r", "entities": ["x", 1], "uncertainty": "none"}
+    case = {"id": "k", "kind": "same-event", "articleIds": [5], "expectedRelation": "same-event", "evaluationFocus": "f", "knownUncertainty": "n", "labelProvenance": {"status": "accepted", "method": "human-review", "reviewedBy": [1], "reviewedAt": "2024-01-01", "notes": 3}}
+    body = json.dumps({"schemaVersion": "2.0.0", "datasetVersion": 7, "generatedAt": "2024", "legalBoundary": "x", "articles": [article], "cases": [case]})
+    issues = {x.issue for x in manifest.validate(manifest.parse(spark.createDataFrame([(body,)], "body string"))).collect()}
+    assert {"datasetVersion must be a non-empty string", "articles[0].id must be a non-empty string", "articles[0].title must be a non-empty string", "articles[0].entities must contain non-empty strings"} <= issues
+    assert {"cases[0].labelProvenance.reviewedBy must be a string array", "cases[0].labelProvenance.notes must be a non-empty string"} <= issues
