@@ -10,8 +10,11 @@ verified on each match inside the join. A flip is tried from 0 to 1 only: of two
 that differ in one bit, the one with the 0 finds the other.
 Copies share a fingerprint and meet only in an aggregate, so a group of copies costs no pairs.
 
+Two segments suit up to about 2**32 different fingerprints; beyond that, a bucket of a segment holds several on average, and the probes grow
+faster than the data.
+
 Defined results: null text = empty; a text without words has fingerprint zero and is linked like any
-other; repeated doc_ids give one row per input row; rows without doc_id go; an empty table gives none.
+other; repeated doc_ids give one row per input row; rows without doc_id go; extra columns, clashing names included, are not read; an empty table gives none.
 """
 
 from __future__ import annotations
