@@ -278,3 +278,21 @@ def canonical_url(requested: Column, candidate: Column, hosts: Column) -> Column
     """The candidate resolved against the requested URL if it may be fetched, else the requested URL."""
     resolved = resolve_url(requested, candidate)
     return F.when(resolved.isNotNull() & check_url(resolved, hosts).isNull(), resolved).otherwise(requested)
+
+
+def inspect_fetched(fetched: DataFrame, targets: DataFrame, hosts: dict[str, tuple[str, ...]] = PUBLISHER_HOSTS) -> DataFrame:
+    """fetched(id, status, content_type, body, error, duration_ms), targets(id, publisher, category, url) -> one inspection row per target, without texts.
+
+    A page that was not fetched, is no HTML or gives no article is a row with ok false and its error."""
+    strange = F.col("content_type").isNotNull() & ~F.col("content_type").rlike("(?i)html")
+    early = F.coalesce("error", F.when(strange, F.concat(F.lit("Unexpected content type: "), "content_type")))
+    rows = targets.join(fetched.withColumn("__early", early).drop("url", "error"), "id").withColumn("html", F.when(F.col("__early").isNull(), F.col("body")))
+    found = extract_articles(rows.drop("body")).withColumn("error", F.coalesce("__early", "error")).withColumn("ok", F.col("error").isNull())
+    allowed = F.element_at(F.create_map(*(x for k, v in hosts.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("publisher"))
+    if_ok = lambda c: F.when(F.col("ok"), F.col(c)).alias(c)
+    metrics = ("title", "author", "published_at", "text_length", "paragraph_count", "extraction_strategy", "content_hash")
+    return found.select(
+        F.col("id").alias("target_id"), "publisher", "category", F.col("url").alias("requested_url"), "ok", "duration_ms", F.col("status").alias("http_status"), *(if_ok(c) for c in metrics),
+        F.when(F.col("ok"), canonical_url(F.col("url"), F.col("canonical_candidate"), allowed)).alias("canonical_url"), F.when(F.col("ok"), F.col("author_status")).otherwise("unknown").alias("author_status"),
+        decision(F.col("ok"), F.col("quality_warnings")).alias("quality_decision"), "quality_warnings", "error",
+    )

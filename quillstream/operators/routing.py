@@ -109,6 +109,13 @@ def envelope(body: Column) -> Column:
     return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"), F.when(error.isNull(), F.sha2(text, 256)).alias("content_hash"))
 
 
+def browser_metrics(fetched: DataFrame) -> DataFrame:
+    """fetched(id, url, body, error, duration_ms) of a browser service -> what may be kept of an answer: sizes, hash, time and error, but no text."""
+    rows = fetched.select("id", "url", "duration_ms", F.col("error").alias("__early"), envelope(F.col("body")).alias("e"))
+    failed = F.coalesce("__early", "e.error")
+    return rows.select("id", F.col("url").alias("requested_url"), t.utf16_length(F.when(failed.isNull(), F.col("e.text"))).alias("text_length"), F.when(failed.isNull(), F.col("e.content_hash")).alias("content_hash"), "duration_ms", failed.alias("error"))
+
+
 def compare_direct(direct: Column, browser: Column, direct_hash: Column, browser_hash: Column) -> Column:
     """struct(length_ratio, same_hash): ratio of lengths to three places, null for an empty direct text."""
     ratio = F.round(browser / F.nullif(direct, F.lit(0)), 3)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import citations, html, manifest
+from ..operators import citations, feeds, html, manifest, routing
 from . import sqltext as s
 from .catalogue import query, table
 
@@ -179,6 +179,39 @@ def normalized_articles(spark, sf_dir):
     )
 
 
+_FETCHED = "CASE doc_id % 5 WHEN 1 THEN 'HTTP 500' WHEN 2 THEN 'Unexpected content type: text/html' WHEN 3 THEN 'Unsupported XML feed root' END"
+
+
+@query(f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, lang AS category, {_FETCHED} AS early, doc_id % 5 AS k, {s.feed_text(f"split_part({_BARE}, chr(10), 1)")} AS title FROM documents),
+f AS (SELECT *, coalesce(early, CASE WHEN title = '' THEN 'No valid item entries found' END) AS error FROM d)
+SELECT source_id, category, error IS NULL AS ok, CAST(CASE WHEN error IS NULL THEN 200 END AS INT) AS http_status, CASE WHEN error IS NULL AND k = 0 THEN 'application/rss+xml' END AS content_type, CASE WHEN error IS NULL THEN 1 END AS item_count,
+CASE WHEN error IS NULL THEN '2026-01-02T00:00:00Z' END AS latest_published_at, error FROM f""")
+def feed_inspection(spark, sf_dir):
+    """Documents as answers to feed requests: sound, a server error, a web page, another XML, and one without a content type."""
+    k = F.col("doc_id")
+    bare = F.regexp_replace("text", "[<>&]", " ")
+    feed = F.concat(F.lit("<rss><channel><item><title>"), F.substring_index(bare, "\n", 1), F.lit("</title><link>l</link><pubDate>2026-01-02T00:00:00Z</pubDate></item></channel></rss>"))
+    docs = table(spark, sf_dir, "documents")
+    fetched = docs.select(
+        k.cast("string").alias("id"), _pick(k, 5, {1: F.lit(500)}, F.lit(200)).alias("status"), _pick(k, 5, {0: F.lit("application/rss+xml"), 2: F.lit("text/html")}, F.lit(None).cast("string")).alias("content_type"),
+        _pick(k, 5, {3: F.lit("<opml/>")}, feed).alias("body"), _pick(k, 5, {1: F.lit("HTTP 500")}, F.lit(None).cast("string")).alias("error"), F.lit(5).alias("duration_ms"),
+    )
+    sources = docs.select(k.cast("string").alias("id"), F.col("source").alias("publisher"), F.col("lang").alias("category"), F.lit("https://e.example/").alias("feed_url"))
+    return feeds.inspect_fetched(cut(fetched), sources).select("source_id", "category", "ok", "http_status", "content_type", "item_count", "latest_published_at", "error")
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS id, CAST(CASE WHEN doc_id % 4 > 0 AND {s.utf16(s.trim('text'))} >= 250 THEN {s.utf16(s.trim('text'))} END AS INT) AS text_length, CASE WHEN doc_id % 4 > 0 AND {s.utf16(s.trim('text'))} >= 250 THEN sha256({s.trim('text')}) END AS content_hash,
+CASE WHEN doc_id % 4 = 0 THEN 'HTTP 429' WHEN {s.utf16(s.trim('text'))} < 250 THEN 'Browser text is too short' END AS error FROM documents""")
+def browser_metrics(spark, sf_dir):
+    """Documents as answers of a browser service, every fourth refused."""
+    refused = F.col("doc_id") % 4 == 0
+    fetched = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.lit("https://e.example/").alias("url"), F.when(~refused, F.to_json(F.struct(F.lit(True).alias("success"), F.col("text").alias("result")))).alias("body"),
+        F.when(refused, "HTTP 429").alias("error"), F.lit(5).alias("duration_ms"),
+    )
+    return routing.browser_metrics(fetched).select("id", "text_length", "content_hash", "error")
+
+
 # --- manifests -----------------------------------------------------------------------------------------------------------
 
 _MANIFEST = '{"schemaVersion":"2.0.0","datasetVersion":"v","generatedAt":"2024","legalBoundary":"x","articles":[],"cases":[]}'

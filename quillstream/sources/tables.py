@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,12 @@ CHECKS = {
     "article_versions": [("version", "version_number > 0"), ("length", "text_length >= 0"), ("paragraphs", "paragraph_count >= 0")],
     "ingestion_runs": [("attempt", "attempt > 0"), ("attempts", "max_attempts >= attempt")],
 }
+# Closed sets of columns.
+ENUMS = {
+    ("sources", "category"): ("technology", "entertainment", "sports", "other"), ("source_endpoints", "kind"): ("rss", "api", "html"), ("articles", "author_status"): ("reported", "unknown"),
+    ("ingestion_runs", "kind"): ("source-poll", "article-fetch", "article-process", "story-match", "story-summarize"), ("ingestion_runs", "status"): ("queued", "running", "succeeded", "partial", "failed", "cancelled"),
+    ("processing_failures", "category"): ("network", "timeout", "rate-limit", "invalid-feed", "invalid-html", "extraction", "validation", "persistence", "provider", "unknown"),
+}
 #: (table, column) -> table whose key it must name
 REFERENCES = {
     ("source_endpoints", "source_id"): ("sources", "id"), ("article_sources", "article_id"): ("articles", "article_id"),
@@ -36,28 +44,78 @@ REFERENCES = {
 }
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _current(spark: SparkSession, root: str) -> dict[str, str]:
+    """table -> folder of its rows, as the newest manifest under root has it."""
+    at, fs = _hadoop(spark, f"{root}/_manifests")
+    names = sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+    names = [n for n in names if n.endswith(".json")]
+    return json.loads(spark.read.text(f"{root}/_manifests/{names[-1]}", wholetext=True).first().value) if names else {}
+
+
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
+    folder = _current(spark, root).get(name)
+    if folder is None:
+        raise ValueError(f"no table {name} under {root}")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{folder}")
+
+
+def write_all(tables: dict[str, DataFrame], root: str) -> None:
+    """Replaces several tables at once: rows go to new folders, then one manifest names them, so readers see all of the old or all of the new tables.
+
+    The manifest is made by a rename to the next number, which fails if another writer was first; then nothing has changed. Folders of former
+    manifests stay until clean()."""
+    if not tables:
+        return
+    spark = next(iter(tables.values())).sparkSession
+    held = _current(spark, root)
+    at, fs = _hadoop(spark, f"{root}/_manifests")
+    fs.mkdirs(at)
+    number = 1 + max((int(x.getPath().getName()[:-5]) for x in fs.listStatus(at) if x.getPath().getName().endswith(".json")), default=0)
+    for name, df in tables.items():
+        folder = f"{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{root}/{folder}")
+        held = held | {name: folder}
+    staged, _ = _hadoop(spark, f"{root}/_manifests/{uuid.uuid4().hex}.staged")
+    out = fs.create(staged)
+    out.write(bytearray(json.dumps(held).encode("utf-8")))
+    out.close()
+    final, _ = _hadoop(spark, f"{root}/_manifests/{number:012d}.json")
+    if fs.exists(final) or not fs.rename(staged, final):
+        raise RuntimeError("another writer was first; nothing was changed")
 
 
 def write(df: DataFrame, root: str, name: str) -> None:
-    """Writes beside the table, then swaps, so readers see the old or the new table."""
-    spark = df.sparkSession
-    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    final, staged, old = f"{root}/{name}", f"{root}/.staged-{name}", f"{root}/.old-{name}"
-    df.write.mode("overwrite").parquet(staged)
-    fs = path(final).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(old), True)
-    if fs.exists(path(final)):
-        fs.rename(path(final), path(old))
-    fs.rename(path(staged), path(final))
-    fs.delete(path(old), True)
+    """Replaces one table."""
+    write_all({name: df}, root)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+def clean(spark: SparkSession, root: str) -> None:
+    """Deletes the folders that the newest manifest does not name; for times without readers of older ones."""
+    kept = set(_current(spark, root).values())
+    at, fs = _hadoop(spark, root)
+    for x in fs.listStatus(at):
+        if x.getPath().getName() not in kept | {"_manifests"}:
+            fs.delete(x.getPath(), True)
+
+
+def _postgres(url: str) -> str:
     if not url.lower().removeprefix("jdbc:").startswith(("postgres://", "postgresql://")):
         raise ValueError("a PostgreSQL URL is required")
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    return url
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, connections: int = 5, **options: str) -> None:
+    """Appends rows over at most `connections` connections at a time; each partition is one transaction."""
+    df.coalesce(connections).write.format("jdbc").mode("append").options(url=_postgres(url), dbtable=table, connectTimeout="10", **options).save()
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+    return spark.read.format("jdbc").options(url=_postgres(url), dbtable=table, **options).load()
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
@@ -66,6 +124,10 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     for name, df in tables.items():
         for check, condition in CHECKS.get(name, []):
             out.append(df.where(f"not ({condition})").agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), F.lit(f"check {check}").alias("constraint"), "n"))
+        for (table, column), values in ENUMS.items():
+            if table == name:
+                wrong = df.where(F.col(column).isNotNull() & ~F.col(column).isin(*values))
+                out.append(wrong.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), F.lit(f"enum {column}").alias("constraint"), "n"))
         for key in UNIQUE.get(name, []):
             whole = df.na.drop(subset=list(key)).groupBy(*key).agg(F.count("*").alias("c")).where("c > 1")
             out.append(whole.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), F.lit(f"unique {', '.join(key)}").alias("constraint"), "n"))

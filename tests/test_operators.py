@@ -220,3 +220,55 @@ def test_numbers_are_no_strings_in_a_manifest(spark):
     issues = {x.issue for x in manifest.validate(manifest.parse(spark.createDataFrame([(body,)], "body string"))).collect()}
     assert {"datasetVersion must be a non-empty string", "articles[0].id must be a non-empty string", "articles[0].title must be a non-empty string", "articles[0].entities must contain non-empty strings"} <= issues
     assert {"cases[0].labelProvenance.reviewedBy must be a string array", "cases[0].labelProvenance.notes must be a non-empty string"} <= issues
+
+
+def test_posts_secrets_and_times():
+    asked = []
+
+    def opener(url, timeout, headers=None, data=None):
+        asked.append((url, headers, data))
+        return 200, {"content-type": "application/json"}, b"{}"
+
+    request = http.browser_request("t", "https://vnexpress.net/a", ["vnexpress.net"], "https://browser.example/run", " secret ")
+    row = http.timed_fetch(request, opener=opener)
+    assert row[:6] == ("t", "https://browser.example/run", 200, "application/json", "{}", None) and row[6] >= 0
+    assert asked == [("https://browser.example/run", {"Authorization": "Bearer secret", "Content-Type": "application/json"}, '{"url": "https://vnexpress.net/a"}')]
+    with pytest.raises(ValueError, match="token is required"):
+        http.browser_request("t", "https://vnexpress.net/a", ["vnexpress.net"], "https://browser.example/run", "  ")
+    with pytest.raises(ValueError, match="is not allowed"):
+        http.browser_request("t", "https://evil.example/", ["vnexpress.net"], "https://browser.example/run", "x")
+
+    def slow(url, timeout):
+        raise TimeoutError
+
+    assert http.fetch({"id": 1, "url": "https://a.example/"}, 15.0, slow)[-1] == "Timed out after 15000ms"
+
+
+def test_tables_change_together_or_not_at_all(spark, tmp_path):
+    root = str(tmp_path / "store")
+    runs = lambda n, status: spark.createDataFrame([(str(n), f"k{n}", "source-poll", status, 1, 3)], tables.SCHEMAS["ingestion_runs"])
+    failures = spark.createDataFrame([("f", "1", "network", True, "m")], tables.SCHEMAS["processing_failures"])
+    tables.write_all({"ingestion_runs": runs(1, "queued"), "processing_failures": failures}, root)
+    broken = failures.select("id", "run_id", "category", "retryable", F.raise_error(F.lit("lost")).cast("string").alias("message"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_all({"ingestion_runs": runs(2, "nonsense"), "processing_failures": broken}, root)
+    assert [r.id for r in tables.read(spark, root, "ingestion_runs").collect()] == ["1"]
+    tables.write_all({"ingestion_runs": runs(2, "nonsense")}, root)
+    tables.clean(spark, root)
+    both = {n: tables.read(spark, root, n) for n in ("ingestion_runs", "processing_failures")}
+    assert {(r.table, r["constraint"], r.n) for r in tables.violations(both).collect()} == {("ingestion_runs", "enum status", 1), ("processing_failures", "reference run_id", 1)}
+    with pytest.raises(ValueError, match="no table"):
+        tables.read(spark, root, "articles")
+
+
+def test_article_inspection_rows(spark):
+    line = "Một đoạn văn đủ dài để vượt qua ngưỡng của bộ lọc đoạn văn, và còn dài hơn nữa cho chắc. "
+    page = f"<title>T</title><article><p>{line * 3}</p></article>"
+    fetched = spark.createDataFrame(
+        [("a", "u", 200, "text/html; charset=utf-8", page, None, 7), ("b", "u", None, None, None, "HTTP 404", 3), ("c", "u", 200, "application/pdf", page, None, 3), ("d", "u", 200, None, "<title>T</title>", None, 3)], http.SCHEMA
+    )
+    targets = spark.createDataFrame([(k, "Thanh Niên", "sports", "https://thanhnien.vn/x") for k in "abcd"], "id string, publisher string, category string, url string")
+    got = {r.target_id: r for r in html.inspect_fetched(fetched, targets).collect()}
+    assert (got["a"].ok, got["a"].title, got["a"].duration_ms, got["a"].quality_decision, got["a"].canonical_url) == (True, "T", 7, "ready", "https://thanhnien.vn/x")
+    assert {k: got[k].error for k in "bcd"} == {"b": "HTTP 404", "c": "Unexpected content type: application/pdf", "d": "Article text too short"}
+    assert all(got[k].quality_decision == "failed" and got[k].content_hash is None for k in "bcd") and "text" not in got["a"].asDict()
