@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillstream.llm import suffix_dedup as sd
@@ -132,3 +133,21 @@ def test_one_very_long_text(spark):
     rows = spark.createDataFrame([(1, filler[:700_000] + passage + filler[700_000:]), (2, passage), (3, filler[:399])], "row long, text string")
     got = {x.row: x.n_removed for x in sd.cut_repeats(rows).collect()}
     assert got == {1: 900, 2: 900, 3: 0}
+
+
+def test_memory_of_a_batch_does_not_grow_with_it():
+    """A batch is hashed in short runs of rows: its arrays would take some hundred times its bytes."""
+    import tracemalloc
+
+    r = random.Random(8)
+    texts = ["".join(r.choices("abcdefgh ", k=4000)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts)], names=["row", "text"])
+    for _ in sd._anchor_rows(200)(iter([batch.slice(0, 10)])):
+        pass
+    tracemalloc.start()
+    try:
+        found = [b.num_rows for b in sd._anchor_rows(200)(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(found) > 10_000 and peak < 80_000_000
