@@ -127,3 +127,43 @@ def test_shared_seeds_match_every_place():
     many = np.full(50, 8)
     _, x, y = ch.shared_seeds(many, np.arange(50), many, np.arange(50))
     assert set(x) == set(y) == set(range(50)) and len(x) <= 4 * 100
+
+
+def test_texts_are_linked_whatever_stands_before_them(spark):
+    """The first and the previous place of each seed are in texts that hold too few words of the passage, so the link of the two that hold it was left out."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 8)))
+    make = lambda n: [word() for _ in range(n)]
+    passage = make(44)
+    text = lambda part: " ".join(make(30) + part + make(30))
+    parts = lambda: [text(passage[k : k + 38]) for k in [*range(7), *[0, 6] * 12]]
+    docs = list(enumerate([*parts(), text(passage), *parts(), text(passage)]))
+    got = ch.passages(spark.createDataFrame(docs, "row long, text string")).collect()
+    assert {(x.a, x.b) for x in got} == {(31, 63)} and all(x.b_end - x.b_begin == 44 for x in got)
+
+
+def test_links_of_different_texts_equal_all_pairs(spark):
+    docs = edited_copies(0.1)[:24] + [(100 + i, t) for i, t in edited_copies(0.1)[:3]]
+    docs = [(i, " ".join(t.split()[: 60 + 7 * (i % 13)])) for i, t in docs]
+    got = ch.passages(spark.createDataFrame(docs, "row long, text string")).collect()
+    texts = {i: ch.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for i, t in docs}
+    found = {i: ch.seeds(*x) for i, x in texts.items()}
+    wanted = set()
+    for a in texts:
+        for b in texts:
+            if a < b:
+                _, x, y = ch.shared_seeds(found[a][1].view(np.int64), found[a][0], found[b][1].view(np.int64), found[b][0])
+                for c in ch.chains(x, y) if len(x) else []:
+                    hit = ch.align(texts[a][0], texts[b][0], c[:, 0], c[:, 1]) if len(c) > 1 else None
+                    if hit and min(hit[1] - hit[0], hit[3] - hit[2]) >= ch.LEAST_WORDS:
+                        wanted.add((a, b))
+    member, linked = {}, set()
+    for x in got:
+        linked.add((x.a, x.b))
+        for row, node in ((x.a, x.a_node), (x.b, x.b_node)):
+            if node is not None:
+                member.setdefault(node, set()).add(row)
+    for x in got:
+        if x.a_node is not None:
+            linked |= {(min(a, b), max(a, b)) for a in member[x.a_node] for b in member[x.b_node] if a != b}
+    assert len(wanted) > 40 and linked == wanted
