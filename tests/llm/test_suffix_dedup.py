@@ -151,3 +151,19 @@ def test_memory_of_a_batch_does_not_grow_with_it():
     finally:
         tracemalloc.stop()
     assert sum(found) > 10_000 and peak < 80_000_000
+
+
+def test_tables_between_the_steps_start_few_processes(spark, tmp_path, monkeypatch):
+    """Each file that a task writes to a local disk starts a process, which shares the executor's memory for a moment."""
+    import pathlib
+
+    from quillstream.llm import shared
+
+    monkeypatch.setattr(shared, "shared_folder", lambda _: str(tmp_path))
+    passage = "".join(random.Random(2).choices("abcdefgh ", k=500))
+    rows = spark.createDataFrame([(i, f"{i} {passage} {i}") for i in range(4)], "row long, text string")
+    assert {x.n_removed >= 500 for x in sd.cut_repeats(rows).collect()} == {True}
+    left = {p.name.rsplit("-", 1)[0] for p in pathlib.Path(tmp_path, "quillstream").iterdir()}
+    assert left == {"repeated-anchors", "hits"}  # what is read once is not written
+    table = shared.written(rows, "table")
+    assert table.count() == 4 and not list(pathlib.Path(table._quillstream_path).glob(".*.crc"))
