@@ -1,10 +1,15 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quillstream.llm import chaining as ch
 
 
+PLACE = "row: long, begin: int, lead: int, size: int, open: boolean, words: binary"
+
+
 def plain_chain_score(x, y):
     order = sorted(range(len(x)), key=lambda i: (x[i], y[i]))
     score = {}
@@ -167,3 +172,49 @@ def test_links_of_different_texts_equal_all_pairs(spark):
         if x.a_node is not None:
             linked |= {(min(a, b), max(a, b)) for a in member[x.a_node] for b in member[x.b_node] if a != b}
     assert len(wanted) > 40 and linked == wanted
+
+
+def test_pairs_of_nodes_move_as_numbers(spark, monkeypatch):
+    """No join brings the words of both nodes to each pair of them."""
+    plans, plain = {}, ch.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(ch, "written", noted)
+    assert ch.passages(spark.createDataFrame(edited_copies(0.04), "row long, text string")).count() >= 59
+    assert "words" in plans["nodes"] and "words" not in plans["node-pairs"]
+
+
+def test_pairs_of_nodes_equal_all_pairs(spark):
+    r = random.Random(4)
+    numbers = [(k % 3 << ch.FILE_BITS) + k // 3 * 40 for k in range(90)]  # three files, many runs
+    held = {n: set(r.sample(range(60), r.randint(0, 12))) | ({99} if k % 2 else set()) for k, n in enumerate(numbers)}
+    rows = spark.createDataFrame([(n, h) for n, hs in held.items() for h in hs], "id long, h long").repartition(5)
+    got = sorted((x.a, x.b) for x in ch.node_pairs(rows).collect())
+    assert got == sorted((a, b) for a in numbers for b in numbers if a < b and len(held[a] & held[b]) > 1)
+
+
+def test_content_is_found_by_number(spark, tmp_path):
+    """Files of several batches; the lesser node is a; the last text is taken where both nodes begin with one text."""
+    place = lambda row: (row, 1, 2, 3, False, b"%d" % row)
+    nodes = [(k * 7919 % 1000 - 500, place(k // 2), place(2000 + k) if k % 4 else None, [k, k + 1], [0, k]) for k in range(1000)]
+    schema = f"node long, top struct<{PLACE}>, far struct<{PLACE}>, h array<int>, at array<int>"
+    rows = spark.createDataFrame(nodes, schema).repartition(2)
+    numbered = ch.written(rows.mapInArrow(ch._content_rows(str(tmp_path)), "node long, id long, file string"), "numbers")
+    files = {x.part: x.file for x in numbered.select(F.shiftright("id", ch.FILE_BITS).alias("part"), "file").distinct().collect()}
+    ids = {x.node: x.id for x in numbered.collect()}
+    assert len(files) > 1 and len(set(ids.values())) == 1000
+    by_node, r = {n[0]: n for n in nodes}, random.Random(3)
+    pairs = [tuple(r.sample(list(ids), 2)) for _ in range(500)] + [(nodes[k][0], nodes[k + 1][0]) for k in range(0, 1000, 2)]
+    asked = pa.RecordBatch.from_pydict({c: [ids[p[i]] for p in pairs] for i, c in enumerate("ab")})
+    got = [x for b in ch._fetched(str(tmp_path), files, lambda batches: batches)(iter([asked])) for x in b.to_pylist()]
+    want = []
+    for a, b in map(sorted, pairs):
+        one, two = by_node[a], by_node[b]
+        pa_, pb_ = one[1], two[1]
+        if pa_[0] == pb_[0]:
+            pa_, pb_ = (one[2], pb_) if one[2] else (pa_, two[2])
+        want.append((a, b, pa_, pb_, one[3], one[4], two[3], two[4]))
+    assert [(x["a"], x["b"], tuple(x["pa"].values()), tuple(x["pb"].values()), x["ha"], x["ata"], x["hb"], x["atb"]) for x in got] == want
