@@ -218,3 +218,89 @@ def test_content_is_found_by_number(spark, tmp_path):
             pa_, pb_ = (one[2], pb_) if one[2] else (pa_, two[2])
         want.append((a, b, pa_, pb_, one[3], one[4], two[3], two[4]))
     assert [(x["a"], x["b"], tuple(x["pa"].values()), tuple(x["pb"].values()), x["ha"], x["ata"], x["hb"], x["atb"]) for x in got] == want
+
+
+SIDE = pa.struct([("row", pa.int64()), ("begin", pa.int32()), ("lead", pa.int32()), ("size", pa.int32()), ("open", pa.bool_()), ("words", pa.binary())])
+
+
+def edited_pairs(n, seed):
+    """Two edited versions of a text each, with the chains of their 5-word matches (some of them no match at all)."""
+    r = random.Random(seed)
+    for k in range(n):
+        text = [r.randrange(9 if k % 3 == 0 else 5000) for _ in range(r.randint(8, 150))]
+        sides = []
+        for _ in range(2):
+            side = [r.randrange(5000) for _ in range(r.choice([0, 3, 70]))]
+            for w in text:
+                side += [[w], [], [r.randrange(5000)], [w, r.randrange(9)], [w] + [r.randrange(9) for _ in range(80)]][r.choices(range(5), [90, 3, 3, 3, 1])[0]]
+            sides.append(np.array(side + [r.randrange(5000) for _ in range(r.choice([0, 3, 70]))], np.uint32))
+        a, b = sides
+        where = {}
+        for i in range(len(a) - ch.K + 1):
+            where.setdefault(a[i : i + ch.K].tobytes(), []).append(i)
+        points = [(i, j) for j in range(len(b) - ch.K + 1) for i in where.get(b[j : j + ch.K].tobytes(), []) if r.random() < 0.4]
+        if min(len(a), len(b)) >= ch.K:
+            points += [(r.randint(0, len(a) - ch.K), r.randint(0, len(b) - ch.K)) for _ in range(r.randint(0, 2))]
+        points = np.array(sorted(set(points)), np.int64).reshape(-1, 2)
+        yield a, b, ch.chains(points[:, 0], points[:, 1]) if len(points) else []
+
+
+def test_common_words_of_many_gaps():
+    r = np.random.RandomState(2)
+    lists = [(r.randint(0, 6, n), r.randint(0, 6, m)) for n, m in r.randint(1, 65, (300, 2)).tolist() + [[1, 1]] * 9 + [[64, 64], [1, 64], [64, 1]]]
+    a, b = (np.concatenate([x[k] for x in lists]).astype(np.uint32) for k in (0, 1))
+    na, nb = (np.array([len(x[k]) for x in lists]) for k in (0, 1))
+    assert ch.common_many(a, np.cumsum(na) - na, na, b, np.cumsum(nb) - nb, nb).tolist() == [ch.common(*x) for x in lists]
+
+
+def test_chains_of_many_pairs_are_aligned_as_one_by_one(monkeypatch):
+    pairs = list(edited_pairs(150, 6))
+    side = lambda k: ch._Side(pa.array([(0, 0, 0, len(p[k]), False, p[k].tobytes()) for p in pairs], SIDE))
+    row = np.array([k for k, p in enumerate(pairs) for _ in p[2]])
+    every = [c for p in pairs for c in p[2]]
+    limits, points = np.r_[0, np.cumsum([len(c) for c in every])], np.concatenate(every)
+    wanted = [ch.align(*pairs[k][:2], c[:, 0], c[:, 1]) or (0,) * 5 for k, c in zip(row, every)]
+    assert len(every) > 250 and sum(w[4] > 40 for w in wanted) > 40
+    for compared, ahead in ((1 << 21, 64), (1 << 21, 1), (900, 8), (1, 3)):
+        monkeypatch.setattr(ch, "COMPARED", compared)
+        monkeypatch.setattr(ch, "AHEAD", ahead)
+        found, before, after = ch.align_many(side(0), side(1), row, limits, points[:, 0], points[:, 1])
+        assert list(map(tuple, found.T.tolist())) == wanted
+        for k, c, p, q in zip(row, every, before, after):
+            a, b, (x, y), (u, v) = *pairs[k][:2], c[0], c[-1]
+            assert q == ch._equal(a[u:], b[v:]) and p == ch._equal(a[:x][::-1], b[:y][::-1])
+
+
+def test_equal_predecessors_give_the_nearest():
+    """Scores in words are whole numbers, so ties do not depend on rounding: of equal predecessors the one with the largest y is taken, then the one with the largest x."""
+    r, per_match = random.Random(8), round(ch.K / ch.GAP)
+    for _ in range(60):
+        points = sorted({(r.randint(0, 200), r.randint(0, 200)) for _ in range(r.randint(2, 60))}, key=lambda p: (p[0], -p[1]))
+        score, back = {}, {}
+        for x, y in points:
+            gain, v, u = max(((score[u, v] - (x - u) - (y - v), v, u) for u, v in score if u < x and v < y), default=(0, 0, 0))
+            score[x, y], back[x, y] = (per_match + gain, (u, v)) if gain > 0 else (per_match, None)
+        best, path = max(points, key=score.get), []
+        while best:
+            path, best = [list(best), *path], back[best]
+        assert ch.chains(*np.array(points).T)[0].tolist() == path
+
+
+def test_no_pair_of_nodes_is_aligned_alone(monkeypatch):
+    """Python steps for each pair of nodes took longer than the limit on 0.51 GB."""
+    texts = [np.array([t.encode() for t in text.split()]) for _, text in edited_copies(0.04)]
+    words = {w: k + 1 for k, w in enumerate(sorted({w for t in texts for w in t}))}
+    texts = [np.array([words[w] for w in t], np.uint32)[20:-20] for t in texts]
+    found = []
+    for t in texts:
+        at, h = ch.seeds(t.astype(np.uint64), np.zeros(len(t), np.int64))
+        found.append(((h >> np.uint64(32)).astype(np.uint32).view(np.int32), at.astype(np.int32)))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    columns = {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}
+    for c, k in (("a", 0), ("b", 1)):
+        columns[f"p{c}"] = pa.array([(p[k], 0, 0, len(texts[p[k]]), False, texts[p[k]].tobytes()) for p in pairs], SIDE)
+        columns[f"h{c}"], columns[f"at{c}"] = (pa.array([found[p[k]][j] for p in pairs], pa.list_(pa.int32())) for j in (0, 1))
+    batch = pa.RecordBatch.from_pydict(columns)
+    monkeypatch.setattr(ch, "align", None)
+    rows = [x for b in ch._node_rows(40)(iter([batch])) for x in b.to_pylist()]
+    assert len({(x["a"], x["b"]) for x in rows}) > 1000 and all(x["a"] < x["b"] and x["a_end"] - x["a_begin"] >= 40 for x in rows)
