@@ -304,3 +304,18 @@ def test_no_pair_of_nodes_is_aligned_alone(monkeypatch):
     monkeypatch.setattr(ch, "align", None)
     rows = [x for b in ch._node_rows(40)(iter([batch])) for x in b.to_pylist()]
     assert len({(x["a"], x["b"]) for x in rows}) > 1000 and all(x["a"] < x["b"] and x["a_end"] - x["a_begin"] >= 40 for x in rows)
+
+
+def test_texts_of_nodes_move_as_numbers(spark, monkeypatch):
+    """Words of both texts went by shuffle with every two texts that a pair of nodes asks for, and with every copy."""
+    plans, plain = {}, ch.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(ch, "written", noted)
+    docs = edited_copies(0.04)
+    got = ch.passages(spark.createDataFrame(docs + [(100 + i, t + " end") for i, t in docs[:5]], "row long, text string")).collect()
+    assert {(x.a, x.b) for x in got if x.a_node == x.b_node and x.a_node} >= {(i, 100 + i) for i in range(5)}
+    assert "words" in plans["segments"] and "words" not in plans["passages"]
