@@ -319,3 +319,24 @@ def test_texts_of_nodes_move_as_numbers(spark, monkeypatch):
     got = ch.passages(spark.createDataFrame(docs + [(100 + i, t + " end") for i, t in docs[:5]], "row long, text string")).collect()
     assert {(x.a, x.b) for x in got if x.a_node == x.b_node and x.a_node} >= {(i, 100 + i) for i in range(5)}
     assert "words" in plans["segments"] and "words" not in plans["passages"]
+
+
+def test_pairs_of_nodes_are_counted_in_blocks(monkeypatch):
+    """The lists of a count are bounded by a run and a block, whatever the number of nodes; the pairs are those of all nodes."""
+    monkeypatch.setattr(ch, "BLOCK", 512)
+    starts = ch._block_starts({0: 1_300, 1: 100, 2: 300, 3: 700})
+    whole = [*range(1_300), *(k << 32 | n for k, size in ((1, 100), (2, 300), (3, 700)) for n in range(size))]
+    r = random.Random(3)
+    lists = [whole, whole[5::7], sorted(r.sample(whole, 900)), whole[10:11], whole[3:5]]
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array(lists, pa.list_(pa.int64()))})
+    pieces = {}
+    for out in ch._seed_groups(iter([batch]), starts):
+        assert max(out.column("ids").value_lengths().to_pylist()) <= 512
+        for k in range(out.num_rows):
+            pieces.setdefault((out.column("g")[k].as_py(), out.column("block")[k].as_py()), []).append(out.slice(k, 1))
+    got = sorted(p for group in pieces.values() for b in ch._group_pairs(iter(group)) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
+    counts = np.zeros((len(whole), len(lists)), np.int32)
+    for k, one in enumerate(lists):
+        counts[np.searchsorted(whole, one), k] = 1
+    at = np.argwhere(np.triu(counts @ counts.T, 1) > 1)
+    assert got == [(whole[i], whole[j]) for i, j in at.tolist()]
