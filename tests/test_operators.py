@@ -272,3 +272,31 @@ def test_article_inspection_rows(spark):
     assert (got["a"].ok, got["a"].title, got["a"].duration_ms, got["a"].quality_decision, got["a"].canonical_url) == (True, "T", 7, "ready", "https://thanhnien.vn/x")
     assert {k: got[k].error for k in "bcd"} == {"b": "HTTP 404", "c": "Unexpected content type: application/pdf", "d": "Article text too short"}
     assert all(got[k].quality_decision == "failed" and got[k].content_hash is None for k in "bcd") and "text" not in got["a"].asDict()
+
+
+def test_candidate_pairs_are_made_once_and_in_blocks(spark, monkeypatch):
+    """All pairs of a hot key and of alike titles, each once, without gathering pairs; also where an id repeats."""
+    monkeypatch.setattr(relations, "BLOCK", 7)
+    words = [f"word{chr(97 + k)}" for k in range(20)]
+    rows = [(k, "c" if k % 3 else "d", " ".join(words[(k * 7 + j * (1 + k % 4)) % 20] for j in range(1 + k % 9)), "2024-01-01", "policy", ["hot" if k % 2 else f"own{k}", f"key{k % 5}"]) for k in range(60)]
+    rows += [(100, None, "worda wordb", "2024-01-01", "policy", ["hot"]), (None, "c", "worda", "2024-01-01", "policy", ["hot"])]
+    schema = "id long, category string, title string, observed_date string, content_type string, entities array<string>"
+
+    def wanted(rows):
+        of, out = {}, set()  # rows of one id and category count as one, as in SQL
+        for r in rows:
+            if r[0] is not None and r[1]:
+                keys, title = of.setdefault(r[:2], (set(), set()))
+                keys.update(r[5]), title.update(r[2].split())
+        held = [(*k, *v) for k, v in of.items()]
+        for a in held:
+            for b in held:
+                if a[0] < b[0] and a[1] == b[1] and (a[2] & b[2] or 5 * len(a[3] & b[3]) >= len(a[3] | b[3])):
+                    out.add((a[0], b[0]))
+        return sorted(out)
+
+    found = relations.candidate_pairs(spark.createDataFrame(rows, schema))
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == wanted(rows)
+    rows.append((3, "d", "wordq wordr", "2024-01-01", "policy", ["key1", "hot"]))
+    assert sorted(tuple(r) for r in relations.candidate_pairs(spark.createDataFrame(rows, schema)).collect()) == wanted(rows)
