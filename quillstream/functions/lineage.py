@@ -7,6 +7,12 @@ import re
 from pyspark.sql import DataFrame
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a small table that makes much work lies in one or a few."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the folder named by spark.checkpoint.dir; a machine-local one only in local mode."""
     spark = df.sparkSession

@@ -56,9 +56,9 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def parse(manifests: DataFrame) -> DataFrame:
     """manifests(body) -> schema_version, dataset_version, generated_at, legal_boundary, articles, cases (arrays of JSON), kept even where wrong."""
-    v = F.try_parse_json("body")
+    v = F.col("__v")
     listed = lambda n: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")).startswith("ARRAY"), F.transform(F.try_variant_get(v, f"$.{n}", "array<variant>"), lambda m: F.to_json(m)))
-    return manifests.select(
+    return manifests.select(F.try_parse_json("body").alias("__v")).select(  # parsed once for all fields
         _text(v, "schemaVersion").alias("schema_version"), _text(v, "datasetVersion").alias("dataset_version"), _text(v, "generatedAt").alias("generated_at"),
         _text(v, "legalBoundary").alias("legal_boundary"), listed("articles").alias("articles"), listed("cases").alias("cases"),
     )
@@ -73,15 +73,21 @@ def root_issues(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.posexplode(said).alias("pos", "issue")).where("issue is not null")
 
 
+def _listed(manifest: DataFrame, name: str) -> DataFrame:
+    """(index, v) of a list's members. An inner explode would have the optimizer infer a filter on the list, for which each text is made and parsed again."""
+    rows = manifest.select(F.posexplode_outer(name).alias("index", "json")).where("index is not null")
+    return rows.select("index", F.try_parse_json("json").alias("v"))
+
+
 def articles_of(manifest: DataFrame) -> DataFrame:
     """(index, the fields of an article); values of a wrong JSON type are null."""
-    rows = manifest.select(F.posexplode("articles").alias("index", "json")).select("index", F.try_parse_json("json").alias("v"))
+    rows = _listed(manifest, "articles")
     return rows.select("index", *(_text(F.col("v"), n).alias(n) for n in ARTICLE), _texts(F.col("v"), "entities").alias("entities"))
 
 
 def cases_of(manifest: DataFrame) -> DataFrame:
     """(index, the fields of a case); values of a wrong JSON type are null."""
-    rows = manifest.select(F.posexplode("cases").alias("index", "json")).select("index", F.try_parse_json("json").alias("v"))
+    rows = _listed(manifest, "cases")
     p = F.try_variant_get("v", "$.labelProvenance", "variant")
     provenance = F.when(F.schema_of_variant(p).startswith("OBJECT"), F.struct(*(_text(p, n).alias(n) for n in PROVENANCE), _texts(p, "reviewedBy").alias("reviewedBy")))
     return rows.select("index", *(_text(F.col("v"), n).alias(n) for n in CASE), _texts(F.col("v"), "articleIds").alias("articleIds"), provenance.alias("labelProvenance"))

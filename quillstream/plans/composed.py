@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, spread
 from ..operators import citations, feeds, html, manifest, routing
 from . import sqltext as s
 from .catalogue import query, table
@@ -235,7 +235,7 @@ def manifest_types(spark, sf_dir):
     article = '{"id":"a","category":"sports","sourceId":"s","title":@T@,"canonicalUrl":"https://e.example/","observedDate":"2024-02-28","verification":"page-fetched","contentType":"report","entities":["x"],"uncertainty":"none"}'
     edits = {1: ('"id":"a"', '"id":5'), 2: ("@T@", "9"), 3: ('["x"]', '["x",5]'), 4: ('["x"]', '"x"'), 5: ('"none"', "null")}
     body = _changed(_MANIFEST.replace('"articles":[]', f'"articles":[{article}]'), F.col("p_partkey"), 6, edits, {"@T@": _quoted(F.col("p_name"))})
-    rows = manifest.articles_of(manifest.parse(table(spark, sf_dir, "part").select(body.alias("body"))))
+    rows = manifest.articles_of(manifest.parse(spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select(body.alias("body"))))
     return manifest.article_issues(rows).groupBy("issue").agg(F.count("*").alias("n"))
 
 

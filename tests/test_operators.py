@@ -300,3 +300,20 @@ def test_candidate_pairs_are_made_once_and_in_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == wanted(rows)
     rows.append((3, "d", "wordq wordr", "2024-01-01", "policy", ["key1", "hot"]))
     assert sorted(tuple(r) for r in relations.candidate_pairs(spark.createDataFrame(rows, schema)).collect()) == wanted(rows)
+
+
+def test_small_tables_are_spread_over_the_cores(spark):
+    """One file of many rows is the work of all cores; JSON texts are parsed once."""
+    from quillstream.functions.lineage import spread
+    from quillstream.plans import catalogue
+
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and sorted(r.id for r in spread(one).collect()) == list(range(100))
+    plan = catalogue.queries()["manifest_types"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
+    body = '{"schemaVersion":"2.0.0","datasetVersion":"v","generatedAt":"2024","legalBoundary":"x","articles":[{}],"cases":[]}'
+    plan = manifest.parse(spark.createDataFrame([(body,)], "body string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") <= 1
+    assert "size(articles" not in manifest.articles_of(manifest.parse(spark.createDataFrame([(body,)], "body string")))._jdf.queryExecution().optimizedPlan().toString()
+    empty = spark.createDataFrame([([],), (None,), (['{"id":"a"}', "{"],)], "articles array<string>")
+    assert [(r["index"], r.id) for r in manifest.articles_of(empty).collect()] == [(0, "a"), (1, None)]
