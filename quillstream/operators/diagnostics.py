@@ -48,12 +48,13 @@ def container_candidates(pages: DataFrame, key: str, wanted: str = CONTENT, most
 
     A candidate reaches to the next closing tag of its name; the first of each hint that has two paragraphs and 250 characters counts."""
     split = F.split(F.col("html"), r"(?i)(?=<(?:article|main|section|div)\b)", -1)
-    parts = pages.select(key, F.posexplode(split).alias("at", "part"), F.col("html"))
+    # the texts of a page stay in its task: what follows a tag is the parts from its own on, so no window needs them
+    parts = pages.select(key, split.alias("parts")).select(key, F.posexplode_outer("parts").alias("at", "part"), "parts")
     opened = parts.withColumn("tag", F.regexp_extract("part", STRUCTURE_TAG, 0)).withColumn("name", F.lower(F.regexp_extract("part", STRUCTURE_TAG, 1)))
     opened = opened.withColumn("selector_hint", selector_hint(F.col("name"), F.col("tag")))
-    begin = F.sum(F.length("part")).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    opened = opened.withColumn("begin", F.coalesce(begin, F.lit(0)) + F.length("tag") + 1).where(F.coalesce(F.col("selector_hint").rlike(wanted), F.lit(False)))
-    rest = F.substring("html", F.col("begin").cast("int"), F.length("html"))
+    opened = opened.where(F.coalesce(F.col("selector_hint").rlike(wanted), F.lit(False)))
+    whole = F.array_join(F.slice("parts", F.col("at") + 1, F.size("parts")), "")
+    rest = F.substring(whole, F.length("tag") + 1, F.length(whole))
     cut = opened.withColumn("rest", rest).withColumn("close", F.expr("instr(rest, concat('</', name, '>'))"))
     body = F.expr("substring(rest, 1, close - 1)")
     sized = cut.where("close > 0").withColumn("paragraph_count", F.size(F.regexp_extract_all(body, F.lit(r"(?i)<p\b[^>]*>"), F.lit(0)))).withColumn("text_length", t.diagnostic_length(body))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as t
-from quillstream.operators import citations, evaluation, feeds, html, manifest, relations, routing, versions
+from quillstream.operators import citations, diagnostics, evaluation, feeds, html, manifest, relations, routing, versions
 from quillstream.sources import http, registry, tables
 
 
@@ -317,3 +317,13 @@ def test_small_tables_are_spread_over_the_cores(spark):
     assert "size(articles" not in manifest.articles_of(manifest.parse(spark.createDataFrame([(body,)], "body string")))._jdf.queryExecution().optimizedPlan().toString()
     empty = spark.createDataFrame([([],), (None,), (['{"id":"a"}', "{"],)], "articles array<string>")
     assert [(r["index"], r.id) for r in manifest.articles_of(empty).collect()] == [(0, "a"), (1, None)]
+
+
+def test_container_texts_are_not_shuffled(spark):
+    """Nested containers and one without an end; windows get numbers and hints only."""
+    text = "x" * 300
+    page = f"<div><p>a</p></div><div class='story one'><p>{text}</p><section id=main><p>{text}</p><p>{text}</p></section></div><article class=\"story\"><p>{text}</p><p>b</p>"
+    found = diagnostics.container_candidates(spark.createDataFrame([(1, page), (2, None), (3, "")], "k long, html string"), "k")
+    assert [(r.selector_hint, r.paragraph_count, r.text_length) for r in found.collect()] == [("div.story.one", 3, 902)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("parts" in x or "html" in x for x in plan.split("\n") if "Sort [" in x or "Window" in x) and plan.count("sum(length") == 0
