@@ -176,7 +176,8 @@ def sentence_issues(summaries: DataFrame, article_versions: DataFrame, claims: D
     out = lambda df, code, where, **refs: df.select(
         "summary_id", F.lit(code).alias("code"), where.alias("path"), F.col("s.id").alias("sentence_id"), *(refs.get(n, F.lit(None).cast("string")).alias(n) for n in ("article_id", "article_version_id", "claim_id"))
     )
-    cited = rows.select("summary_id", "snapshot_id", "pos", "s", F.posexplode("s.citations").alias("cpos", "c"))
+    # of the sentence, only the id goes along with each citation: the whole would be moved once for every one of them
+    cited = rows.select("summary_id", "snapshot_id", "pos", F.struct(F.col("s.id").alias("id")).alias("s"), F.posexplode("s.citations").alias("cpos", "c"))
     cpath = F.concat(path, F.lit(".citations["), F.col("cpos").cast("string"), F.lit("]"))
     refs = {"article_id": F.col("c.articleId"), "article_version_id": F.col("c.articleVersionId")}
     same = Window.partitionBy("summary_id", "pos", "c.articleId", "c.articleVersionId", "ids").orderBy("cpos")

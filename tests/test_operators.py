@@ -327,3 +327,12 @@ def test_container_texts_are_not_shuffled(spark):
     assert [(r.selector_hint, r.paragraph_count, r.text_length) for r in found.collect()] == [("div.story.one", 3, 902)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not any("parts" in x or "html" in x for x in plan.split("\n") if "Sort [" in x or "Window" in x) and plan.count("sum(length") == 0
+
+
+def test_only_a_sentence_id_goes_along_with_citations(spark):
+    body = '{"sentences":[{"id":"1","text":"t","citations":[{"articleId":"a","articleVersionId":"v","claimIds":["c"]}],"claimIds":["c"]}]}'
+    rows = spark.createDataFrame([("x", "s", body)], "summary_id string, snapshot_id string, body string")
+    known = spark.createDataFrame([("s", 0, "a", "v", "active")], "snapshot_id string, pos int, article_id string, article_version_id string, state string")
+    claims = known.selectExpr("*", "'c' claim_id", "'p' proposition_id", "'reported' epistemic_status", "'affirmed' polarity", "array('x') entities", "array(named_struct('key', 'k', 'value', '1', 'unit', 'u', 'currency', 'e', 'scale', 's')) numbers", "array(named_struct('key', 'k', 'value', '1', 'role', 'r')) times")
+    plan = citations.sentence_issues(rows, known, claims)._jdf.queryExecution().analyzed().toString()
+    assert "struct(id, s#" in plan
